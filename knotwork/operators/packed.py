@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.functions.exprs import let
+
 #: Marks that always separate, as a Java regular expression. A slash separates between blanks only.
 STRONG = r"[|\x{FF5C}\x{00A6};\x{FF1B}\x{2022}\t\n\r\x{2028}\x{2029}]| / "
 WEAK = r"[,\x{FF0C}\x{3001}]"
@@ -41,28 +43,39 @@ def _unprotect(span: Column) -> Column:
     return F.when(quoted, F.regexp_replace(F.replace(inner, F.lit('""'), F.lit('"')), r'\\([|;,/"\\])', "$1")).otherwise(F.substring(bare, F.lit(2), F.length(bare)))
 
 
+def _number(parts: Column) -> Column:
+    """Joins the parts around protected spans with numbered placeholders: part i follows placeholder i - 1."""
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(OPEN), p))), "")
+
+
+def _cut(held: Column) -> Column:
+    return F.when(F.regexp_like(held, F.lit(STRONG)), F.split(held, STRONG)).otherwise(F.split(held, WEAK))
+
+
+def _restore(piece: Column, spans: Column) -> Column:
+    bits = F.split(_trim(piece), OPEN)  # text, index, text, index, ... text
+    whole = F.array_join(F.transform(bits, lambda b, i: F.when(i % 2 == 1, _unprotect(F.get(spans, F.coalesce(b.try_cast("int"), F.lit(-1))))).otherwise(b)), "")
+    return _trim(F.replace(F.replace(whole, F.lit(ESC + "a"), F.lit(OPEN)), F.lit(ESC + "b"), F.lit(ESC)))
+
+
 def _split_plain(field: Column) -> Column:
-    coded = F.replace(F.replace(field, F.lit(ESC), F.lit(ESC + "b")), F.lit(OPEN), F.lit(ESC + "a"))
-    spans = F.regexp_extract_all(coded, F.lit(PROTECTED), F.lit(0))
-    parts = F.split(F.regexp_replace(coded, PROTECTED, OPEN), OPEN)
-    # Number the placeholders: the i-th part but the first follows placeholder i - 1.
-    held = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(OPEN), p))), "")
-    pieces = F.when(F.regexp_like(held, F.lit(STRONG)), F.split(held, STRONG)).otherwise(F.split(held, WEAK))
+    def split(coded: Column) -> Column:
+        spans = F.regexp_extract_all(coded, F.lit(PROTECTED), F.lit(0))
+        pieces = let(_number(F.split(F.regexp_replace(coded, PROTECTED, OPEN), OPEN)), _cut)
+        return let(spans, lambda s: F.transform(pieces, lambda piece: _restore(piece, s)))
 
-    def restore(piece: Column) -> Column:
-        bits = F.split(_trim(piece), OPEN)  # text, index, text, index, ... text
-        whole = F.array_join(F.transform(bits, lambda b, i: F.when(i % 2 == 1, _unprotect(F.get(spans, F.coalesce(b.try_cast("int"), F.lit(-1))))).otherwise(b)), "")
-        return _trim(F.replace(F.replace(whole, F.lit(ESC + "a"), F.lit(OPEN)), F.lit(ESC + "b"), F.lit(ESC)))
+    return let(F.replace(F.replace(field, F.lit(ESC), F.lit(ESC + "b")), F.lit(OPEN), F.lit(ESC + "a")), split)
 
-    return F.transform(pieces, restore)
+
+def _read(text: Column) -> Column:
+    listed = F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, "array<string>"))
+    # What parses as a JSON list without nulls is one; anything else in brackets is plain text.
+    return let(listed, lambda v: F.when(v.isNotNull() & ~F.exists(v, lambda x: x.isNull()), F.transform(v, _trim)).otherwise(_split_plain(text)))
 
 
 def unpack(field: Column) -> Column:
     """Array of the non-empty values of a packed field in their order; empty for null and blank fields."""
-    text = _trim(field)
-    listed = F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, "array<string>"))
-    # A list of several values without a null parses as JSON; anything else in brackets is plain text.
-    values = F.when(listed.isNotNull() & ~F.exists(listed, lambda v: v.isNull()), F.transform(listed, _trim)).otherwise(_split_plain(text))
+    values = let(_trim(field), _read)
     return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v != "")
 
 
