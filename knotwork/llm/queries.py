@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import contamination, packing, repetition
+from knotwork.llm import contamination, neighbours, packing, repetition
 from knotwork.sources import table
 
 MIN_WORDS = 8
 REPEATED_SHARE = 0.5
+NEAREST = 10
+LEAST_COSINE = 0.82
 
 
 def _repetition(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,5 +44,22 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks)}
+def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(neighbours.build(table(spark, folder, "centroids"), "partition_id", "centroid"), NEAREST)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(_nearest(spark, folder), LEAST_COSINE)
+    return pairs.select(F.col("a").alias("partition_a"), F.col("b").alias("partition_b"))
+
+
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return _nearest(spark, folder).select(F.col("id").alias("partition_id"), F.col("neighbour").alias("neighbour_id"), F.col("sim").alias("cosine"), "rank")
+
+
+def p6_recall(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.recall(_nearest(spark, folder), neighbours.brute_force(table(spark, folder, "centroids"), "partition_id", "centroid", NEAREST))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_neighbours, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks)}
 SQL: dict[str, str] = {}
