@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import contamination, neighbours, packing, repetition
+from knotwork.llm import contamination, neighbours, packing, repetition, residue
 from knotwork.sources import table
 
 MIN_WORDS = 8
@@ -14,6 +14,15 @@ NEAREST = 10
 LEAST_COSINE = 0.82
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "entities"), "rec_id", "entity_description").select("rec_id")
+
+
+def p1_clean_records(spark: SparkSession, folder: str) -> DataFrame:
+    kept = residue.without_residue(table(spark, folder, "entities"), "rec_id", "entity_description")
+    return kept.select("rec_id", "entity_id", "entity_description")
+
+
 def _repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(table(spark, folder, "entities"), "rec_id", "entity_description")
 
@@ -61,5 +70,5 @@ def p6_recall(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.recall(_nearest(spark, folder), neighbours.brute_force(table(spark, folder, "centroids"), "partition_id", "centroid", NEAREST))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_neighbours, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p6_found, p6_neighbours, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks)}
 SQL: dict[str, str] = {}
