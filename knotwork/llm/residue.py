@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.exprs import let
 
-DEPTH = 4
+DEPTH = 6
 ANY = "<*>"
 
 _SLOT = r"[\p{L}][\p{L}\p{N}]*(?:[._-][\p{L}\p{N}]+)*"
@@ -52,7 +52,7 @@ _STATUS = (
 _SCRIPT = r"(?:javascript|java script|js|scripts?|scripting|noscript|skripte?|client side code|cookies?)"
 _ON = r"(?:enable|activate|allow|accept|turn on|turn them on|switch on|activez?|activer|autoriser|aktivieren|erlauben|einschalten|activar|habilitar|habilite|permitir)"
 _OFF = r"(?:disabled|turned off|switched off|blocked|not available|not supported|deaktiviert|ausgeschaltet|désactivé|désactivés|desactivado|desactivados|deshabilitado)"
-_JUNK = r"bla|blah|text|test|dummy|foo|bar|baz|qux|asd|asdf|asdfg|asdfgh|asdfghjkl|qwe|qwer|qwert|qwerty|zxcv|yxcv|jkl|hjkl|xxx+|abc|sample|blub|tralala"
+_JUNK = r"bla|blah|text|test|dummy|foo|bar|baz|qux|asd|asdf|asdfg|asdfgh|asdfghjkl|qwe|qwer|qwert|qwerty|zxcv|yxcv|jkl|hjkl|xyz|xxx+|abc|sample|blub|tralala"
 #: Messages that are a whole segment.
 WHOLE = (
     rf"^(?:(?:http|https) )?(?:(?:error|erreur|fehler|code|status|http status|status code) )?(?:<\*> )?(?:{_STATUS})(?: <\*>)?$",
@@ -67,7 +67,7 @@ INSIDE = (
     # pages that could not be had
     r"\bnothing (?:matched|here matches) (?:this|your)\b", r"\boops nothing here\b", r"\bpage (?:you requested|you are looking for) (?:could not|cannot|was not|does not)\b",
     r"^sorry this page\b", r"^this page (?:no longer|does not|could not|cannot|is not available)\b", r"\bthe link you followed may\b", r"^this content is not available\b", r"^this account has been\b",
-    r"^access to this (?:resource|page|site) is (?:denied|restricted|forbidden|blocked)\b", r"^permission missing\b", r"^your request (?:was|has been) (?:blocked|denied|rejected)\b",
+    r"^access to this (?:resource|page|site) is (?:denied|restricted|forbidden|blocked|<\*>)", r"^permission missing\b", r"^your request (?:was|has been) (?:blocked|denied|rejected)\b",
     r"^session expired\b", r"^too many requests from your\b", r"^the service is (?:down|unavailable|temporarily)\b", r"^please try again later\b", r"^something went wrong\b",
     r"\bcould not connect to the (?:database|server|host)\b", r"^(?:read|connection|request|operation) timed out\b", r"^backend fetch failed\b", r"^unhandled exception\b", r"^upstream server returned\b",
     r"^traceback most recent call last\b", r"^warning query failed\b", r"^quota for key\b", r"^internal problem the administrator\b", r"^incident number\b", r"^the archive copy of this page is damaged\b",
