@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import contamination, neighbours, packing, repetition, residue
+from knotwork.llm import contamination, neighbours, packing, repetition, residue, structure
 from knotwork.sources import table
 
 MIN_WORDS = 8
 REPEATED_SHARE = 0.5
 NEAREST = 10
 LEAST_COSINE = 0.82
+NONPROSE_SHARE = 0.5
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,5 +71,13 @@ def p6_recall(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.recall(_nearest(spark, folder), neighbours.brute_force(table(spark, folder, "centroids"), "partition_id", "centroid", NEAREST))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p6_found, p6_neighbours, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks)}
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.statistics(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_statistics(spark, folder).where(F.col("nonprose_share") > NONPROSE_SHARE).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p6_found, p6_neighbours, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
