@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,10 +110,17 @@ SCHEMA = (
 _FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
-@lru_cache(maxsize=200_000)
+_SEEN: dict[str, bool] = {}
+
+
 def _garbled(word: str) -> bool:
     """Letters that no word of these languages could be: no vowel at all, or six consonants in a row."""
-    return len(word) >= 3 and word[0] <= "ɏ" and _NO_WORD.match(word) is not None
+    known = _SEEN.get(word)
+    if known is None:
+        if len(_SEEN) > 200_000:
+            _SEEN.clear()
+        known = _SEEN[word] = len(word) >= 3 and word[0] <= "ɏ" and _NO_WORD.match(word) is not None
+    return known
 
 
 def _stretches(text: str) -> list[str]:
