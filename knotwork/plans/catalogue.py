@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from knotwork.plans import audit, general
+from knotwork.plans import audit, general, text
 
-_MODULES = (general, audit)
+_MODULES = (general, audit, text)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
