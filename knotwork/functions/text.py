@@ -82,9 +82,10 @@ def ngrams(words: Column, longest: int) -> Column:
     return let(words, lambda w: F.concat(*[of(w, n) for n in range(longest, 0, -1)]))
 
 
-def mentions(question: Column) -> Column:
+def mentions(question: Column, ascii_only: bool = False) -> Column:
     """Distinct lower-case mention candidates: n-grams of all words, then of the content words."""
-    raw = F.regexp_extract_all(F.lower(F.replace(question, F.lit("’"), F.lit("'"))), F.lit(r"[a-z0-9]+(?:'[a-z0-9]+)?"), F.lit(0))
+    part = "[a-z0-9]+" if ascii_only else r"[\p{L}\p{N}]+"
+    raw = F.regexp_extract_all(F.lower(F.replace(question, F.lit("’"), F.lit("'"))), F.lit(f"{part}(?:'{part})?"), F.lit(0))
     content = F.filter(raw, lambda t: (F.length(t) >= 2) & ~_among(t, STOP_WORDS))
     both = F.concat(ngrams(raw, 5), ngrams(content, 4))
     return F.array_distinct(F.filter(both, lambda m: (F.length(m) >= 2) & ~_among(m, MENTION_STOP)))

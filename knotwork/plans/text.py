@@ -113,11 +113,20 @@ def _grams_of(rel: str, longest: int) -> str:
     return " UNION ALL ".join(f"SELECT item_id, array_to_string(list_slice(t, i, i + {n - 1}), ' ') AS m FROM (SELECT item_id, t, unnest(range(1, len(t) - {n - 2})) AS i FROM {rel})" for n in range(1, longest + 1))
 
 
-MENTIONS = rf"""q AS (SELECT item_id, regexp_extract_all(lower(replace(question, '’', '''')), '[a-z0-9]+(?:''[a-z0-9]+)?') AS t FROM test_items WHERE question IS NOT NULL),
+def _mentions(part: str) -> str:
+    return rf"""q AS (SELECT item_id, regexp_extract_all(lower(replace(question, '’', '''')), '{part}(?:''{part})?') AS t FROM test_items WHERE question IS NOT NULL),
 s AS (SELECT item_id, list_filter(t, lambda x: length(x) >= 2 AND x NOT IN {_in(T.STOP_WORDS)}) AS t FROM q),
 men AS (SELECT DISTINCT item_id, m FROM ({_grams_of('q', 5)} UNION ALL {_grams_of('s', 4)}) WHERE length(m) >= 2 AND m NOT IN {_in(T.MENTION_STOP)})"""
 
 
+MENTIONS = _mentions(r"[\p{L}\p{N}]+")
+
+
+@query(f"WITH {_mentions('[a-z0-9]+')} SELECT item_id, m AS mention FROM men")
+def mentions_ascii(spark, d):
+    return table(spark, d, "test_items").where("question is not null").select("item_id", F.explode(T.mentions(F.col("question"), ascii_only=True)).alias("mention"))
+
+
 @query(f"WITH {MENTIONS} SELECT item_id, m AS mention FROM men")
 def mentions_base(spark, d):
     return table(spark, d, "test_items").where("question is not null").select("item_id", F.explode(T.mentions(F.col("question"))).alias("mention"))
@@ -159,14 +168,16 @@ def embedding_text(spark, d):
 
 
 @query(f"""WITH {ENT}, {MEM}, p AS (SELECT m.pid, e.id, trim(e.name || ' ' || replace(e.aliases, '|', ' ') || ' ' || substr(e.descr, 1, 200)) AS piece FROM mem m JOIN ent e ON e.id = m.id),
-r AS (SELECT *, sum(length(piece)) OVER (PARTITION BY pid ORDER BY id) AS upto FROM p)
+r AS (SELECT *, sum(length(piece)) OVER (PARTITION BY pid ORDER BY id) AS upto FROM p WHERE piece <> '')
 SELECT pid, count(*) AS n_members, CAST(sum(length(piece)) AS BIGINT) AS n_chars, md5(string_agg(piece, ' ' ORDER BY id)) AS digest FROM r WHERE upto - length(piece) <= 5000 GROUP BY pid""")
 def partition_text(spark, d):
     """Texts of a partition's members in the order of ids, up to the first that passes 5,000 characters."""
     piece = F.trim(F.concat_ws(" ", "name", F.replace("aliases", F.lit("|"), F.lit(" ")), F.substring("descr", 1, 200)))
     p = kg.members(spark, d).join(kg.entities(spark, d), "id").select("pid", "id", piece.alias("piece"))
-    # 5,001 members of at least one character each reach the limit, so ranks beyond are cut before the running sum.
-    p = p.withColumn("upto", F.sum(F.length("piece")).over(Window.partitionBy("pid").orderBy("id"))).where(F.col("upto") - F.length("piece") <= 5000)
+    # 5,001 pieces of at least one character reach the limit: later ranks fall away on the map side, before the running sum.
+    order = Window.partitionBy("pid").orderBy("id")
+    p = p.where("piece <> ''").withColumn("nth", F.row_number().over(order)).where("nth <= 5001")
+    p = p.withColumn("upto", F.sum(F.length("piece")).over(order)).where(F.col("upto") - F.length("piece") <= 5000)
     return p.groupBy("pid").agg(F.count(F.lit(1)).alias("n_members"), F.sum(F.length("piece")).alias("n_chars"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]), " ")).alias("digest"))
 
 
