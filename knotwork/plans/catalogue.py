@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from knotwork.plans import audit, general, graph, retrieval, text, traverse
+from knotwork.plans import audit, evaluate, general, graph, retrieval, streams, text, traverse
 
-_MODULES = (general, audit, text, retrieval, graph, traverse)
+_MODULES = (general, audit, text, retrieval, graph, traverse, evaluate, streams)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
