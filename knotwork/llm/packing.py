@@ -2,7 +2,7 @@
 
 Sizes are whole numbers up to the capacity, so an instance is its histogram: at most ``capacity``
 pairs (size, count), however many texts there are. The plan is made on that histogram: Martello-Toth
-dominance fixes sets that no other set with the same largest item can beat, for all copies at once;
+dominance fixes sets that no other set with the same item can beat, for all copies at once;
 best-fit decreasing places the rest, also in bulk. The plan comes back as intervals of ranks within each size
 (their number is bounded by the capacity as well), and the texts find their container by
 size and rank, which is computed in parallel from hashed buckets, never in one window over a hot size.
@@ -25,17 +25,16 @@ CAPACITY = 1024
 def reduce_by_dominance(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Counter, int]], dict[int, int]]:
     """Fixed containers as (sizes, how many) and the histogram that is left.
 
-    For the largest size j, with k the largest size that fits beside it: {j} is fixed if nothing fits; {j, k} if k
+    For each size j, from the largest down, with k the largest size that fits beside it: {j} is fixed if nothing fits; {j, k} if k
     fills the container exactly or no two items fit beside j; {j, k} also if k is at least the largest sum of two items
     that fit while no three do; and {j, k, b} if no three fit, it fills the container exactly and every other pair that
     fits has its smaller item within b or its sum within k.
-    A size for which no rule holds is set aside for best-fit. Every step uses up a size, so there are at most
-    ``capacity`` steps.
+    Sizes for which no rule holds stay in the pool, for others to join; the passes end when one fixes nothing. Every
+    fixing uses up a size or leaves one copy of it, so there are few more than ``capacity`` of them.
     """
     left = {s: n for s, n in histogram.items() if n > 0}
     sizes = sorted(left)
     fixed: list[tuple[Counter, int]] = []
-    rest: dict[int, int] = {}
 
     def take(bin_: Counter) -> None:
         times = min(left[s] // c for s, c in bin_.items())
@@ -82,32 +81,35 @@ def reduce_by_dominance(histogram: dict[int, int], capacity: int) -> tuple[list[
                     return True
         return False
 
-    while sizes:
-        j = sizes[-1]
+    def dominating(j: int) -> Counter | None:
+        """A set with j that no other set with j can beat, if one of the rules gives it."""
         room = capacity - j
         at = bisect_right(sizes, room) - 1
         while at >= 0 and left[sizes[at]] - (sizes[at] == j) < 1:
             at -= 1
         if at < 0:
-            take(Counter([j]))
-            continue
+            return Counter([j])
         k = sizes[at]
         two = smallest(2, j)
         if k == room or len(two) < 2 or sum(two) > room:
-            take(Counter([j, k]))
-            continue
+            return Counter([j, k])
         three = smallest(3, j)
         if len(three) < 3 or sum(three) > room:
             total, a, b = best_pair(room, j)
             if k >= total:
-                take(Counter([j, k]))
-                continue
+                return Counter([j, k])
             if total == room and a == k and not rival(room, j, k, b):
-                take(Counter([j, a, b]))
-                continue
-        rest[j] = left.pop(j)
-        sizes.pop()
-    return fixed, rest
+                return Counter([j, a, b])
+        return None
+
+    reduced = True
+    while reduced:
+        reduced = False
+        for j in sorted(left, reverse=True):
+            while j in left and (bin_ := dominating(j)) is not None:
+                take(bin_)
+                reduced = True
+    return fixed, left
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
