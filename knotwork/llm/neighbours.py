@@ -283,3 +283,57 @@ def recall(near: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: ``n_true`` neighbours of the queries in ``truth``, ``n_hit`` of them found, and ``recall``."""
     hit = truth.select("id", "neighbour").join(near.select("id", "neighbour", F.lit(1).alias("hit")), ["id", "neighbour"], "left")
     return hit.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_hit")).withColumn("recall", F.try_divide(F.col("n_hit"), F.col("n_true")))
+
+
+def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 32, entries: int = 1024, max_steps: int = 24, seed: int = 11) -> DataFrame:
+    """``id, neighbour, sim, rank``: greedy search of the graph for every query (``id bigint, vec``).
+
+    Each query starts at its ``beam`` nearest of ``entries`` nodes, a bounded sample drawn by hash, and in each step
+    expands the nodes of its beam that it has not expanded yet along their edges in both directions; it ends when a step
+    leaves the beam as it was. The state of a query is its beam alone. A query's own row does not count as its neighbour; equal
+    vectors are expanded to their copies at the end, ties go to the smaller id.
+    """
+    spark = graph.nodes.sparkSession
+    work = Workspace(spark, "search")
+    asked = work.write(usable(queries, "id", "vec"), "queries")
+    flat = graph.edges.select("src", F.inline("nb")).select("src", "dst")
+    links = work.write(flat.unionByName(flat.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    start = graph.nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(entries).collect()
+    if not start:
+        return spark.createDataFrame([], "id bigint, neighbour bigint, sim double, rank int")
+    e_ids, e_unit = np.array([r["id"] for r in start]), np.array([r["vec"] for r in start], dtype=np.float64)
+    e_unit /= np.linalg.norm(e_unit, axis=1, keepdims=True)
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sims = np.round(_matrix(batch["vec"]) @ e_unit.T, DECIMALS)
+                src = np.repeat(batch["id"].to_numpy(), len(e_ids))
+                yield from _best(src, np.tile(e_ids, batch.num_rows), sims.ravel(), np.ones(len(src), bool), beam).to_batches()
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sims = np.round(np.einsum("ij,ij->i", _matrix(batch["qvec"]), _matrix(batch["vec"])), DECIMALS)
+                yield from _best(batch["src"].to_numpy(), batch["dst"].to_numpy(), sims, np.ones(len(sims), bool), beam).to_batches()
+
+    qvec, nvec = asked.select(F.col("id").alias("src"), F.col("vec").alias("qvec")), graph.nodes.select(F.col("id").alias("dst"), "vec")
+    gather = lambda e: e.groupBy("src").agg(F.collect_list("nb").alias("nbs")).mapInArrow(lambda it: _merge(it, beam), PAIRS)
+    kind = asked.schema["vec"].dataType.simpleString()
+    state = work.write(asked.mapInArrow(enter, PAIRS), "beam")
+    for _ in range(max_steps):
+        flat_state = state.select("src", F.inline("nb"))
+        fresh = flat_state.where("fresh").select("src", F.col("dst").alias("via"))
+        seen = flat_state.select("src", "dst")
+        reached = fresh.join(links.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct().join(seen, ["src", "dst"], "left_anti")
+        rated = reached.join(qvec, "src").join(nvec, "dst").select("src", "dst", F.col("qvec").cast(kind).alias("qvec"), "vec").mapInArrow(rate, PAIRS)
+        old = state.select("src", F.transform("nb", lambda x: F.struct(x["dst"].alias("dst"), x["sim"].alias("sim"), F.lit(False).alias("fresh"))).alias("nb"))
+        after = work.write(gather(old.unionByName(rated)), "beam")
+        work.drop(state)
+        state = after
+        if state.select(F.inline("nb")).where("fresh").isEmpty():
+            break
+    copies = graph.copies.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("nth") <= k + 1).select(F.col("node").alias("dst"), F.col("id").alias("neighbour"))
+    found = state.select(F.col("src").alias("id"), F.inline("nb")).join(copies, "dst").where("id <> neighbour")
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "neighbour", "sim", "rank")

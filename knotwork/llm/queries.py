@@ -67,6 +67,14 @@ def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return _nearest(spark, folder).select(F.col("id").alias("partition_id"), F.col("neighbour").alias("neighbour_id"), F.col("sim").alias("cosine"), "rank")
 
 
+def p6_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy graph search for every centroid whose partition is divisible by 100, against all."""
+    cen = table(spark, folder, "centroids")
+    graph = neighbours.build(cen, "partition_id", "centroid")
+    asked = cen.where(F.col("partition_id") % 100 == 0).select(F.col("partition_id").cast("bigint").alias("id"), F.col("centroid").alias("vec"))
+    return neighbours.search(graph, asked, NEAREST).select(F.col("id").alias("partition_id"), F.col("neighbour").alias("neighbour_id"), F.col("sim").alias("cosine"), "rank")
+
+
 def p6_recall(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.recall(_nearest(spark, folder), neighbours.brute_force(table(spark, folder, "centroids"), "partition_id", "centroid", NEAREST))
 
@@ -79,5 +87,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_statistics(spark, folder).where(F.col("nonprose_share") > NONPROSE_SHARE).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p6_found, p6_neighbours, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p6_found, p6_neighbours, p6_search, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
