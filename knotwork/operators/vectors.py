@@ -48,44 +48,54 @@ def mean_coordinates(df: DataFrame, group: str, vector: str) -> DataFrame:
     return flat.groupBy(group, "dim").agg(F.avg("x").alias("mean"), F.count("x").alias("n"))
 
 
-def products(queries: DataFrame, corpus: DataFrame, block: int = 2048, keep: int | None = None, decimals: int = 9) -> DataFrame:
-    """``qid, id, score`` of every query against the whole corpus, or of the ``keep`` best per query.
-
-    ``queries`` has ``qid bigint, vec``: a stated set, read in blocks of at most ``block`` vectors, each of which
-    meets the corpus (``id bigint, vec``) in one pass of matrix products. Partial best lists are cut on each partition
-    before they are merged; ties go to the smaller id.
-    """
-    spark = corpus.sparkSession
-    ids, vecs, blocks = [], [], []
+def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ids, vecs = [], []
     for row in queries.select(F.col("qid").cast("bigint"), "vec").where("vec is not null").orderBy("qid").toLocalIterator():
         ids.append(row[0])
         vecs.append(row[1])
-        if len(ids) == block:
-            blocks.append((np.array(ids), np.array(vecs, dtype=np.float64)))
+        if len(ids) == size:
+            yield np.array(ids), np.array(vecs, dtype=np.float64)
             ids, vecs = [], []
     if ids:
-        blocks.append((np.array(ids), np.array(vecs, dtype=np.float64)))
+        yield np.array(ids), np.array(vecs, dtype=np.float64)
+
+
+def products(queries: DataFrame, corpus: DataFrame, block: int = 2048, keep: int | None = None, of: str = "query", decimals: int = 9) -> DataFrame:
+    """``qid, id, score`` of every query against the whole corpus; with ``keep`` only the best, adding ``rank``.
+
+    ``queries`` has ``qid bigint, vec``: a stated set, read in blocks of at most ``block`` vectors, each of which
+    meets the corpus (``id bigint, vec``) in one pass of matrix products. ``of="query"`` keeps the best rows of each
+    query, ``of="row"`` the best queries of each row; either way each batch cuts its own lists (all ties of the last place
+    stay) before they are merged. Ties go to the smaller id.
+    """
+    spark = corpus.sparkSession
     rows = corpus.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
     schema = "qid bigint, id bigint, score double"
     out = spark.createDataFrame([], schema)
-    for q_ids, q in blocks:
+    axis = 1 if of == "query" else 0
+    for q_ids, q in _blocks(queries, block):
 
         def run(batches: Iterator[pa.RecordBatch], q_ids: np.ndarray = q_ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                scores = np.round(q @ batch["vec"].flatten().to_numpy().reshape(n, -1).T, decimals)
-                own = batch["id"].to_numpy()
-                if keep and keep < n:
-                    floor = np.partition(scores, n - keep, axis=1)[:, n - keep]
-                    at, col = np.nonzero(scores >= floor[:, None])  # all ties of the last place stay
-                else:
-                    at, col = np.divmod(np.arange(len(q) * n), n)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(own[col]), pa.array(scores[at, col])], names=["qid", "id", "score"])
+            for whole in batches:
+                for start in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(start, 4096)
+                    n = batch.num_rows
+                    scores = np.round(q @ batch["vec"].flatten().to_numpy().reshape(n, -1).T, decimals)
+                    own, length = batch["id"].to_numpy(), scores.shape[axis]
+                    if keep and keep < length:
+                        floor = np.partition(scores, length - keep, axis=axis).take(length - keep, axis=axis)
+                        at, col = np.nonzero(scores >= np.expand_dims(floor, axis))
+                    else:
+                        at, col = np.divmod(np.arange(len(q) * n), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(own[col]), pa.array(scores[at, col])], names=["qid", "id", "score"])
 
         out = out.unionByName(rows.mapInArrow(run, schema))
-    return best(out, keep) if keep else out
+    if not keep:
+        return out
+    if of == "query":
+        return best(out, keep)
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "qid")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:

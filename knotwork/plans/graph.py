@@ -112,18 +112,16 @@ _LONE = f"{ENT}, {MEM}, {ENC}, {CEN}, lone AS (SELECT id FROM ent WHERE id NOT I
 @query(f"WITH {_LONE} SELECT id, pid, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, pid) AS r FROM sc) WHERE r = 1")
 def nearest_centroid_assign(spark, d):
     lone = unassigned(spark, d)
-    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), lone.select(F.col("qid").alias("id"), "vec"))
-    top = near.groupBy("id").agg(F.min_by("qid", F.struct(-F.col("score"), F.col("qid"))).alias("pid"), F.max("score").alias("sim"))
-    return top.select(F.concat(F.lit("Q"), F.col("id").cast("string")).alias("id"), F.col("pid").cast("int").alias("pid"), F.round("sim", 6).alias("sim"))
+    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), lone.select(F.col("qid").alias("id"), "vec"), keep=1, of="row")
+    return near.select(F.concat(F.lit("Q"), F.col("id").cast("string")).alias("id"), F.col("qid").cast("int").alias("pid"), F.round("score", 6).alias("sim"))
 
 
 @query()
 def capped_assign(spark, d):
     """Entities without a partition to the nearest centroid whose partition has room under the cap (ten nearest each)."""
     lone = unassigned(spark, d)
-    scores = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), lone.select(F.col("qid").alias("id"), "vec"))
-    by_item = scores.select(F.col("id").alias("qid"), F.col("qid").alias("id"), "score")
-    near = vectors.best(by_item, 10).select(F.concat(F.lit("Q"), F.col("qid").cast("string")).alias("id"), F.col("id").cast("int").alias("pid"), F.col("score").alias("sim"))
+    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), lone.select(F.col("qid").alias("id"), "vec"), keep=10, of="row")
+    near = near.select(F.concat(F.lit("Q"), F.col("id").cast("string")).alias("id"), F.col("qid").cast("int").alias("pid"), F.col("score").alias("sim"))
     room = table(spark, d, "centroids").select(F.col("partition_id").alias("pid")).join(partition_sizes(spark, d), "pid", "left").select("pid", F.greatest(F.lit(0), CAP - F.coalesce("size", F.lit(0))).alias("room"))
     return G.capped_assignment(near, room)
 

@@ -129,9 +129,8 @@ def nearest_label(spark, d):
     e = table(spark, d, "embeddings")
     m = vectors.mean_coordinates(e, "label", "embedding").withColumn("val", F.col("mean") / (F.sqrt(F.sum(F.col("mean") * F.col("mean")).over(Window.partitionBy("label"))) + 1e-10))
     means = vectors.dense(m.select(F.col("label").alias("id"), "dim", "val"), "id")
-    scores = vectors.products(means.withColumnRenamed("id", "qid"), e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")))
-    near = scores.groupBy("id").agg(F.min_by("qid", F.struct(-F.col("score"), F.col("qid"))).alias("nearest"), F.max("score").alias("score"))
-    return near.select(F.col("id").alias("vec_id"), F.col("nearest").cast("int").alias("nearest"), F.round("score", 6).alias("score"))
+    near = vectors.products(means.withColumnRenamed("id", "qid"), e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")), keep=1, of="row")
+    return near.select(F.col("id").alias("vec_id"), F.col("qid").cast("int").alias("nearest"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {QALL}, qv AS {hashed('qa', 'qid')} SELECT qid, dim, round(val, 6) AS val FROM qv")
