@@ -140,11 +140,11 @@ def residue(df: DataFrame, key: str, field: str) -> DataFrame:
     texts = df.select(df[key].alias("key"), df[field].alias("txt")).where("txt is not null")
     segs = texts.select("key", F.explode(segments(F.col("txt"))).alias("segment")).withColumn("leaf", _leaf(F.col("segment")))
     bad = judge(templates(segs.select("leaf", "segment"))).where("verdict is not null").select("leaf", "verdict")
-    by_template = segs.select("key", "leaf").join(bad, "leaf").select("key", F.col("verdict").alias("kind"))
-    # A filler text varies too much for its template to keep its words: its segments are judged one by one.
-    by_words = segs.where(is_filler(F.col("segment"))).select("key", F.lit("filler").alias("kind"))
+    # A filler text varies too much for its template to keep its words: its segments are judged one by one as well.
+    judged = segs.select("key", "leaf", is_filler(F.col("segment")).alias("filler")).join(bad, "leaf", "left")
+    by_segment = judged.select("key", F.coalesce("verdict", F.when(F.col("filler"), "filler")).alias("kind")).where("kind is not null")
     by_slot = texts.where(F.regexp_like("txt", F.lit(SLOT))).select("key", F.lit("slot").alias("kind"))
-    return by_template.unionByName(by_words).unionByName(by_slot).groupBy("key").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)
+    return by_segment.unionByName(by_slot).groupBy("key").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)
 
 
 def without_residue(df: DataFrame, key: str, field: str) -> DataFrame:
