@@ -87,7 +87,10 @@ INSIDE = (
     r"^add (?:a|some|two|one|three)\b.*\bsentences? about\b.*\bhere$", r"^(?:todo|to do|fixme|tbd|tba)\b (?:write|add|describe|fill|complete|translate|waiting|to|by|later|soon)\b", r"^placeholder\b.*\b(?:replace|text|later)\b", r"^fill in what\b", r"^this is (?:dummy|sample|placeholder|filler) text\b",
     r"^dear editor please describe\b", r"^welcome to the page of\b", r"^replace this (?:text|sentence)\b",
 )
-MESSAGE = "|".join(f"(?:{p})" for p in (*WHOLE, *INSIDE))
+#: Forms that begin a segment share one anchor, so that other places of a segment are not tried for them.
+_ANCHORED = [p[1:] for p in (*WHOLE, *INSIDE) if p.startswith("^")]
+_FREE = [p for p in (*WHOLE, *INSIDE) if not p.startswith("^")]
+MESSAGE = "^(?:" + "|".join(f"(?:{p})" for p in _ANCHORED) + ")|" + "|".join(f"(?:{p})" for p in _FREE)
 
 #: Fixed words of filler texts in invented Latin.
 LATIN = (
