@@ -16,6 +16,7 @@ from knotwork.functions.exprs import let
 
 DEPTH = 6
 ANY = "<*>"
+_MASK = "\ue002"
 
 _SLOT = r"[\p{L}][\p{L}\p{N}]*(?:[._-][\p{L}\p{N}]+)*"
 #: HTML elements, which are markup and no slots.
@@ -41,6 +42,8 @@ SLOTS = (
     rf"(?:<|&lt;)\s*(?:your\s|insert\s|enter\s)\s*[^<>&]{{1,60}}(?:>|&gt;)",
     rf"(?:<|&lt;)(?!/?(?:{HTML})\b){_SLOT}(?:>|&gt;)",
 )
+#: What every slot holds one of; it clears most texts at once.
+SLOT_HINT = r"[{\[$%#@_:<]|&lt;|(?i:goes\s+here)"
 SLOT = "(?i)" + "|".join(f"(?:{s})" for s in SLOTS)
 
 _W = rf"(?:[\p{{L}}\p{{N}}]+|<\*>)"
@@ -105,9 +108,14 @@ def segments(text: Column) -> Column:
     """Sentences and lines of a text, each as its lower-case tokens with ``<*>`` for tokens that hold a digit."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?i)</?(?:p|br|div|span|li|b|i|em|strong)\s*/?>", "\n"), r"(?i)&nbsp;|\x{00A0}", " ")
     pieces = F.split(plain, r"(?<=[.!?…])\s+|[\r\n]+|(?<=[.!?…])(?=\()")
-    tokens = lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-    masked = F.transform(pieces, lambda s: F.array_join(F.transform(tokens(s), lambda t: F.when(F.regexp_like(t, F.lit(r"\p{N}")), F.lit(ANY)).otherwise(t)), " "))
-    return F.filter(masked, lambda s: s != "")
+    return F.filter(F.transform(pieces, _masked), lambda s: s != "")
+
+
+def _masked(segment: Column) -> Column:
+    """Lower-case tokens with single blanks; a private-use character stands for the wildcard meanwhile."""
+    low = F.replace(F.lower(segment), F.lit(_MASK), F.lit(" "))
+    digits = F.regexp_replace(low, r"(?<![\p{L}\p{M}\p{N}])(?=[\p{L}\p{M}]*\p{N})[\p{L}\p{M}\p{N}]+", _MASK)
+    return F.replace(F.trim(F.regexp_replace(digits, rf"[^\p{{L}}\p{{M}}{_MASK}]+", " ")), F.lit(_MASK), F.lit(ANY))
 
 
 def is_filler(segment: Column) -> Column:
@@ -146,7 +154,7 @@ def residue(df: DataFrame, key: str, field: str) -> DataFrame:
     # A filler text varies too much for its template to keep its words: its segments are judged one by one as well.
     judged = segs.select("key", "leaf", is_filler(F.col("segment")).alias("filler")).join(bad, "leaf", "left")
     by_segment = judged.select("key", F.coalesce("verdict", F.when(F.col("filler"), "filler")).alias("kind")).where("kind is not null")
-    by_slot = texts.where(F.regexp_like("txt", F.lit(SLOT))).select("key", F.lit("slot").alias("kind"))
+    by_slot = texts.where(F.regexp_like("txt", F.lit(SLOT_HINT)) & F.regexp_like("txt", F.lit(SLOT))).select("key", F.lit("slot").alias("kind"))
     return by_segment.unionByName(by_slot).groupBy("key").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)
 
 
