@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.session import Workspace
+
 K1, B = 1.5, 0.75
 RRF_K = 60
 EPSILON = 1e-10
@@ -13,9 +15,11 @@ EPSILON = 1e-10
 class Postings:
     """A lexical index: ``tf`` (id, token, tf), ``lengths`` (id, dl), ``df`` (token, df) and one-row ``stats`` (n_docs, avg_dl)."""
 
-    def __init__(self, tokens: DataFrame):
-        """``tokens``: one row per occurrence, ``id, token``."""
+    def __init__(self, tokens: DataFrame, keep: bool = False):
+        """``tokens``: one row per occurrence, ``id, token``. ``keep`` writes ``tf`` to the shared folder, for more than one use."""
         self.tf = tokens.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+        if keep:
+            self.tf = Workspace(tokens.sparkSession, "postings").write(self.tf, "tf")
         self.lengths = self.tf.groupBy("id").agg(F.sum("tf").alias("dl"))
         self.df = self.tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         self.stats = self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))

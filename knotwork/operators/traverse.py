@@ -73,7 +73,8 @@ def neighbours(states: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """
     spare = 16
     order = Window.partitionBy("src").orderBy("dst", "rel")
-    near = edges.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit + spare).drop("nth")
+    here = edges.join(states.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    near = here.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit + spare).drop("nth")
     met = states.join(near, F.col("node") == F.col("src")).where(~F.array_contains("visited", F.col("dst")))
     cut = Window.partitionBy("state").orderBy("dst", "rel")
     return met.withColumn("nth", F.row_number().over(cut)).where(F.col("nth") <= limit).drop("nth", "node", "visited")

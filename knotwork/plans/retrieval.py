@@ -49,7 +49,7 @@ def dense_scores(spark, d, keep=None):
 
 
 def lexical_scores(spark, d):
-    return retrieval.bm25(retrieval.Postings(partition_tokens(spark, d)), question_terms(spark, d))
+    return retrieval.bm25(retrieval.Postings(partition_tokens(spark, d), keep=True), question_terms(spark, d))
 
 
 def fused_pairs(spark, d):
@@ -112,7 +112,7 @@ bm AS (SELECT qt.qid, tf.id, round(sum(ln(1 + ((SELECT count(*) FROM dl) - df.df
   FROM qt JOIN df ON df.token = qt.token JOIN tf ON tf.token = qt.token JOIN dl ON dl.id = tf.id GROUP BY ALL) {_top('bm')}""")
 def bm25_documents(spark, d):
     tokens = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.explode(T.tokens(F.col("text"))).alias("token"))
-    return _ranked(retrieval.bm25(retrieval.Postings(tokens), question_terms(spark, d)))
+    return _ranked(retrieval.bm25(retrieval.Postings(tokens, keep=True), question_terms(spark, d)))
 
 
 @query("SELECT label, generate_subscripts(m, 1) - 1 AS dim, round(unnest(m), 6) AS mean FROM (SELECT label, list(mean ORDER BY dim) AS m FROM (SELECT label, dim, avg(x) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL) GROUP BY label)")

@@ -11,6 +11,6 @@ sys.path.insert(0, ROOT)
 def spark():
     from knotwork.session import local_session
 
-    session = local_session("*", 4, "knotwork-tests")
+    session = local_session(4, 2, "knotwork-tests")
     yield session
     session.stop()
