@@ -43,7 +43,7 @@ SLOTS = (
     rf"(?:<|&lt;)(?!/?(?:{HTML})\b){_SLOT}(?:>|&gt;)",
 )
 #: What every slot holds one of; it clears most texts at once.
-SLOT_HINT = r"[{\[$%#@_:<]|&lt;|(?i:goes\s+here)"
+SLOT_HINT = r"(?i)[{\[$%#@_:<]|&lt;|goes\s+here"
 SLOT = "(?i)" + "|".join(f"(?:{s})" for s in SLOTS)
 
 _W = rf"(?:[\p{{L}}\p{{N}}]+|<\*>)"

@@ -2,7 +2,7 @@ from knotwork.llm.residue import residue, without_residue
 
 SCHEMA = "rec bigint, descr string, key string, segment string"
 BAD = {
-    "{{name}} is a town.": ["slot"], "canal from <<page-title>>": ["slot"], "known for %(item.desc)s": ["slot"], "[insert region here]": ["slot"], "See also (label goes here).": ["slot"],
+    "{{name}} is a town.": ["slot"], "canal from <<page-title>>": ["slot"], "known for %(item.desc)s": ["slot"], "[insert region here]": ["slot"], "See also (label goes here).": ["slot"], "&LT;CITY&GT; IS A TOWN": ["slot"], "SEE ALSO (LABEL  GOES HERE).": ["slot"],
     "Lorem ipsum dolor sit amet consectetur adipiscing elit.": ["filler"], "bla bla bla": ["message"], "xxxx xxx xxxxx": ["message"],
     "Error 404: Not Found": ["message"], "Read timed out.": ["message"], "A quiet town. Access to this resource is restricted.": ["message"], "Seite nicht gefunden": ["message"],
     "Please enable JavaScript to continue.": ["message"], "BITTE AKTIVIEREN SIE JAVASCRIPT, UM FORTZUFAHREN.": ["message"], "We use cookies. Accept all to read on.": ["message"],
