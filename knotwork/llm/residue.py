@@ -52,13 +52,20 @@ _STATUS = (
     "service temporarily unavailable|internal server error|too many re(?:directs|quests)|access denied|permission denied|page not found|file not found|"
     "acceso denegado|acc[eè]s refus[eé]|zugriff verweigert|page introuvable|seite nicht gefunden|página no encontrada|la página solicitada no está disponible"
 )
+#: How a further message begins that follows one without a mark between them.
+_NEXT = (
+    "error|erreur|fehler|warning query|http status|backend fetch|unhandled exception|connection timed|upstream server|could not connect|read timed|traceback most|too many|quota for|internal problem|permission missing|session expired|"
+    "service unavailable|gateway timeout|bad gateway|bad request|not found|forbidden|page gone|internal server|le serveur|ce contenu|dieser dienst|no se pudo|acceso denegado|nothing matched|the page you|the link you|the service is|the archive copy|"
+    "this content is|this account has|access to this|your request was|oops nothing|sorry this|we are sorry|something went|one moment"
+)
 _SCRIPT = r"(?:javascript|java script|js|scripts?|scripting|noscript|skripte?|client side code|cookies?)"
 _ON = r"(?:enable|activate|allow|accept|turn on|turn them on|switch on|activez?|activer|autoriser|aktivieren|erlauben|einschalten|activar|habilitar|habilite|permitir)"
 _OFF = r"(?:disabled|turned off|switched off|blocked|not available|not supported|deaktiviert|ausgeschaltet|désactivé|désactivés|desactivado|desactivados|deshabilitado)"
 _JUNK = r"bla|blah|text|test|dummy|foo|bar|baz|qux|asd|asdf|asdfg|asdfgh|asdfghjkl|qwe|qwer|qwert|qwerty|zxcv|yxcv|jkl|hjkl|xyz|xxx+|abc|sample|blub|tralala"
 #: Messages that are a whole segment.
 WHOLE = (
-    rf"^(?:(?:http|https) )?(?:(?:error|erreur|fehler|code|status|http status|status code) )?(?:<\*> )?(?:{_STATUS})(?: <\*>)?$",
+    rf"^(?:(?:http|https) )?(?:(?:error|erreur|fehler|code|status|http status|status code) )?(?:<\*> )?(?:{_STATUS})(?: <\*>)?(?: (?:ray|id|ref|reference|incident|xid)(?: id)? {_W})?$",
+    rf"^(?:<\*> )?(?:{_STATUS})(?: <\*>)? (?:{_NEXT})\b",
     rf"^(?:error|erreur|fehler|http|http status|status) <\*>(?: (?:{_STATUS}).*)?$",
     r"^(?:loading|we are sorry|oops|please wait|untitled|placeholder|tbd|todo|tba|n a|lorem|not available|no description|no text|undefined|null|nan|none)$",
     r"^(?:loading )?if nothing happens allow scripts$",

@@ -4,11 +4,12 @@ SCHEMA = "rec bigint, descr string, key string, segment string"
 BAD = {
     "{{name}} is a town.": ["slot"], "canal from <<page-title>>": ["slot"], "known for %(item.desc)s": ["slot"], "[insert region here]": ["slot"], "See also (label goes here).": ["slot"], "&LT;CITY&GT; IS A TOWN": ["slot"], "SEE ALSO (LABEL  GOES HERE).": ["slot"],
     "Lorem ipsum dolor sit amet consectetur adipiscing elit.": ["filler"], "bla bla bla": ["message"], "xxxx xxx xxxxx": ["message"],
-    "Error 404: Not Found": ["message"], "Read timed out.": ["message"], "A quiet town. Access to this resource is restricted.": ["message"], "Seite nicht gefunden": ["message"],
+    "Error 404: Not Found": ["message"], "Read timed out.": ["message"], "408 - Not Found - ray 984add3f": ["message"], "Bad request (401) Erreur 500 : page introuvable": ["message"], "A quiet town. Access to this resource is restricted.": ["message"], "Seite nicht gefunden": ["message"],
     "Please enable JavaScript to continue.": ["message"], "BITTE AKTIVIEREN SIE JAVASCRIPT, UM FORTZUFAHREN.": ["message"], "We use cookies. Accept all to read on.": ["message"],
     "TODO: write a summary of Yobe": ["message"], "Texte à compléter": ["message"], "<p>Beschreibung folgt in Kürze</p>": ["message"],
 }
 GOOD = [
+    "Not found 1984 in the old mill, it hangs at Yo.", "Forbidden 3 times, the play opened at Jo in 1560.",
     "Error 500, a play by Glal Lis, opened at Jo in 1560.", "Its third song is called Access Denied.", "Blah is a village of 704 people.", "Coming Soon is a novel by Bia Sti.", "a cookie brand from Yas",
     "File format that writes values as <217> or {54}.", "According to [P34.E5], it had 3 ships<ref>97</ref>.", "[[charter]] and former port", "In Yes notation, it is the set {6, 17}.", "written <Diapa Bay> in old letters",
     "species&nbsp;of lichen", "a typeface whose specimens show lorem ipsum in 35 sizes", "closed for maintenance since 1718", "", "   ", None,
