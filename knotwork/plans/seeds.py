@@ -1,12 +1,12 @@
-"""Queries of seed resolution. Questions here are the short first lines of documents, which name their entity."""
+"""Queries of seed resolution: ``question_`` over every test question, ``seed_`` over the short first lines of documents, which name their entity."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
-from knotwork.operators import kg, seeds
-from knotwork.plans.retrieval import DEN, _top, dense_scores
+from knotwork.operators import kg, retrieval, seeds, vectors
+from knotwork.plans.retrieval import DEN, NRM, _top, dense_scores, fused_pairs
 from knotwork.plans.sqlparts import ALIASES, ENT, MEM
 from knotwork.plans.text import _in
 from knotwork.sources import table
@@ -64,6 +64,29 @@ def seed_selection(spark, d):
     return seeds.select(_scored(spark, d)[2]).select("qid", "id", "term", F.round("confidence", 6).alias("confidence"), "rank")
 
 
+ROUTED = 5
+_ASKED = f"hq AS (SELECT item_id AS qid, question FROM test_items WHERE question IS NOT NULL){HEAD[HEAD.index(f',{chr(10)}q AS'):]}"
+_ROUTED = f"fu AS (SELECT qid, id, round(0.5::DOUBLE * dn + 0.5::DOUBLE * bn, 9) AS score FROM nr), scp AS ({_top('fu', ROUTED)})"
+ASKED = f"{NRM}, {_ROUTED}, {_ASKED}, {LEX}, {SCORE[SCORE.index('sco AS'):].replace('mem.pid % 2 = 0', '(men.qid, mem.pid) IN (SELECT qid, id FROM scp)')}"
+
+
+def _asked(spark, d):
+    """Every test question, however long; its scope is its ``ROUTED`` best partitions by fused scores."""
+    q = table(spark, d, "test_items").where("question is not null").select(F.col("item_id").alias("qid"), "question")
+    scope = vectors.best(retrieval.fuse(fused_pairs(spark, d)), ROUTED).select("qid", F.col("id").cast("int").alias("pid"))
+    return seeds.score(q, kg.entities(spark, d), kg.members(spark, d), scope)
+
+
+@query(f"WITH {ASKED} SELECT qid, id, term, pid, round(confidence, 6) AS confidence FROM bst")
+def question_seed_candidates(spark, d):
+    return _asked(spark, d).select("qid", "id", "term", "pid", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {ASKED} SELECT qid, id, term, round(confidence, 6) AS confidence, rank FROM sel WHERE rank <= 3")
+def question_seed_selection(spark, d):
+    return seeds.select(_asked(spark, d)).select("qid", "id", "term", F.round("confidence", 6).alias("confidence"), "rank")
+
+
 @query(f"WITH {DEN}, {MEM}, t AS ({_top('den', 2)}), f AS (SELECT pid, id, row_number() OVER (PARTITION BY pid ORDER BY id) AS nth FROM mem) SELECT t.qid, f.id, f.pid FROM t JOIN f ON f.pid = t.id WHERE f.nth <= 3")
 def seed_fallback(spark, d):
     """First members of the two best partitions of every test question, as if none had a seed."""
