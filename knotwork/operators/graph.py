@@ -63,30 +63,31 @@ def gini(sizes: DataFrame) -> DataFrame:
     return ranked.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * weighted / (n * total) - (n + 1) / n)).alias("gini"))
 
 
-def capped_assignment(candidates: DataFrame, free: DataFrame, max_rounds: int = 64) -> DataFrame:
+def capped_assignment(candidates: DataFrame, free: DataFrame) -> DataFrame:
     """``id, pid, sim``: every item to the best of its candidates that still has room, else to its best (``overflow``).
 
     ``candidates``: id, pid, sim; ``free``: pid, room. In each round all unplaced items propose to their best
     candidate with room; a partition accepts the most similar (ties to the smaller id) up to its room. Each round
-    fills a partition or places everyone, and only partitions with room stay, so rounds end.
+    fills a partition or places everyone, and only partitions with room stay; rounds go on until one places nobody.
     """
-    work = Workspace(candidates.sparkSession, "assign")
-    open_, room = work.write(candidates.select("id", "pid", "sim"), "candidates"), work.write(free.select("pid", F.col("room").cast("bigint").alias("room")), "room")
-    everyone = open_
-    done = None
-    for _ in range(max_rounds):
-        left = open_.join(room.where("room > 0"), "pid")
-        proposal = left.groupBy("id").agg(F.min_by(F.struct("pid", "sim", "room"), F.struct(-F.col("sim"), F.col("pid"))).alias("p")).select("id", "p.*")
-        order = Window.partitionBy("pid").orderBy(F.desc("sim"), "id")
+    spark = candidates.sparkSession
+    work = Workspace(spark, "assign")
+    everyone, room = work.write(candidates.select("id", "pid", "sim"), "candidates"), work.write(free.select("pid", F.col("room").cast("bigint").alias("room")), "room")
+    order = Window.partitionBy("pid").orderBy(F.desc("sim"), "id")
+    rounds: list[str] = []
+    done, open_, left = None, everyone, room
+    while True:
+        met = open_.join(left.where("room > 0"), "pid")
+        proposal = met.groupBy("id").agg(F.min_by(F.struct("pid", "sim", "room"), F.struct(-F.col("sim"), F.col("pid"))).alias("p")).select("id", "p.*")
         taken = work.write(proposal.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("room")).select("id", "pid", "sim"), "taken")
         if taken.isEmpty():
             break
-        done = taken if done is None else done.unionByName(taken)
-        used = taken.groupBy("pid").agg(F.count(F.lit(1)).alias("used"))
-        room = work.write(room.join(used, "pid", "left").select("pid", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")), "room")
-        open_ = work.write(open_.join(taken.select("id"), "id", "left_anti"), "open")
-    rest = open_.select("id").distinct()
-    nearest = everyone.join(rest, "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("pid", "sim"), F.struct(-F.col("sim"), F.col("pid"))).alias("p")).select("id", "p.pid", "p.sim", F.lit(True).alias("overflow"))
+        rounds.append(taken._knotwork_path)
+        done = spark.read.schema(taken.schema).parquet(*rounds)
+        used = done.groupBy("pid").agg(F.count(F.lit(1)).alias("used"))
+        left = room.join(used, "pid", "left").select("pid", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
+        open_ = everyone.join(done.select("id"), "id", "left_anti")
+    nearest = open_.groupBy("id").agg(F.min_by(F.struct("pid", "sim"), F.struct(-F.col("sim"), F.col("pid"))).alias("p")).select("id", "p.pid", "p.sim", F.lit(True).alias("overflow"))
     return nearest if done is None else done.withColumn("overflow", F.lit(False)).unionByName(nearest)
 
 

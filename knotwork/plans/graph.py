@@ -14,7 +14,7 @@ from knotwork.plans.text import EMBED, PREMISES, _tok
 from knotwork.sources import table
 
 QUERIES, SQL = {}, {}
-CAP, LEAST = 60, 4
+CAP, LEAST, CENTROIDS = 60, 4, 100
 
 
 def query(sql: str | None = None):
@@ -118,9 +118,9 @@ def nearest_centroid_assign(spark, d):
 
 @query()
 def capped_assign(spark, d):
-    """Entities without a partition to the nearest centroid whose partition has room under the cap (ten nearest each)."""
+    """Entities without a partition to the nearest centroid whose partition has room under the cap (``CENTROIDS`` nearest each)."""
     lone = unassigned(spark, d)
-    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), lone.select(F.col("qid").alias("id"), "vec"), keep=10, of="row")
+    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), lone.select(F.col("qid").alias("id"), "vec"), keep=CENTROIDS, of="row")
     near = near.select(F.concat(F.lit("Q"), F.col("id").cast("string")).alias("id"), F.col("qid").cast("int").alias("pid"), F.col("score").alias("sim"))
     room = table(spark, d, "centroids").select(F.col("partition_id").alias("pid")).join(partition_sizes(spark, d), "pid", "left").select("pid", F.greatest(F.lit(0), CAP - F.coalesce("size", F.lit(0))).alias("room"))
     return G.capped_assignment(near, room)
