@@ -28,6 +28,11 @@ INTENTS = {
     "manufacturer": ("manufacturer", "manufactured", "manufacturing", "developer", "developed"),
     "director": ("director", "directed", "directing"),
 }
+# Phrases of questions that need a bridge.
+MULTI_HOP = (
+    "where the", "of the country", "of the founder", "birthplace of", "headquarters of", "developer of", "creator of", "who played",
+    "coordinates of", "discoverer of", "inventor of", "graduate from", "situated at", "flows through",
+)
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,15 @@ class Bounds:
             raise ValueError("bounds must be positive and weights must not be negative")
 
 
+def limits(questions: DataFrame, seeds: DataFrame, bounds: Bounds = Bounds(), per_seed: int = 3) -> DataFrame:
+    """``qid, hops, width, n_paths`` of each question: 15 states and 12 paths where it asks for a set, 3 hops and at least
+    12 states where it needs a bridge, and never less than ``per_seed`` states a seed."""
+    many, multi = F.lower("question").rlike(T.AGGREGATION), T.any_of(F.lower("question"), MULTI_HOP)
+    n = seeds.groupBy("qid").agg(F.count_distinct("id").alias("n"))
+    width = F.greatest(F.when(many, 15).otherwise(bounds.beam), F.when(multi, 12).otherwise(bounds.beam), per_seed * F.coalesce("n", F.lit(0)))
+    return questions.join(n, "qid", "left").select("qid", F.when(multi, 3).otherwise(bounds.hops).alias("hops"), width.alias("width"), F.when(many, 12).otherwise(bounds.paths).alias("n_paths"))
+
+
 def intent(tokens: Column, with_name: bool) -> Column:
     """The first intent family that shares a word with the tokens; a relation may also match by the family's own words."""
     out = None
@@ -117,8 +131,8 @@ def start(seeds: DataFrame) -> DataFrame:
     return s.select("qid", F.concat_ws(":", F.col("qid").cast("string"), "id").alias("state"), F.col("id").alias("node"), F.array("id").alias("visited"), F.array().cast("array<string>").alias("rels"), F.lit(0.0).alias("score"), F.lit(0).alias("hop"))
 
 
-def hop(beam: DataFrame, edges: DataFrame, names: DataFrame, rel_names: DataFrame, questions: DataFrame, bounds: Bounds) -> DataFrame:
-    """The next beam. ``names``: id, name, descr; ``rel_names``: rel, rel_name."""
+def hop(beam: DataFrame, edges: DataFrame, names: DataFrame, rel_names: DataFrame, questions: DataFrame, bounds: Bounds, own: DataFrame | None = None) -> DataFrame:
+    """The next beam. ``names``: id, name, descr; ``rel_names``: rel, rel_name; ``own``: ``limits`` of each question."""
     cands = neighbours(beam.select("state", "node", "visited"), edges, bounds.neighbours).join(beam, "state")
     cands = cands.join(rel_names, "rel", "left").join(names.select(F.col("id").alias("src"), F.col("name").alias("src_name")), "src", "left").join(names.select(F.col("id").alias("dst"), F.col("name").alias("dst_name"), F.col("descr")), "dst", "left")
     text = F.concat_ws(" ", "src_name", "rel_name", "dst_name", "descr")
@@ -130,21 +144,28 @@ def hop(beam: DataFrame, edges: DataFrame, names: DataFrame, rel_names: DataFram
         F.array_append("rels", F.col("rel")).alias("rels"), F.round(F.col("score") + gain, 9).alias("score"), (F.col("hop") + 1).alias("hop"),
     )
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "state")
-    return new.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= bounds.beam).drop("nth")
+    ranked = new.withColumn("nth", F.row_number().over(order))
+    if own is None:
+        return ranked.where(F.col("nth") <= bounds.beam).drop("nth")
+    return ranked.join(own, "qid").where((F.col("nth") <= F.col("width")) & (F.col("hop") <= F.col("hops"))).select(*new.columns)
 
 
-def search(seeds: DataFrame, edges: DataFrame, names: DataFrame, rel_names: DataFrame, questions: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
-    """``qid, state, node, score, hop, rank``: the best distinct paths of each question.
+def search(seeds: DataFrame, edges: DataFrame, names: DataFrame, rel_names: DataFrame, questions: DataFrame, bounds: Bounds = Bounds(), own: DataFrame | None = None) -> DataFrame:
+    """``qid, state, node, score, hop, rank``: the best distinct paths of each question, within its ``own`` limits if given.
 
     Every state that survives a hop is also a finished path, so a path that finds no candidate ends where it stands.
     """
     work = Workspace(seeds.sparkSession, "paths")
     beam, done = work.write(start(seeds), "beam"), None
-    for _ in range(bounds.hops):
-        beam = work.write(hop(beam, edges, names, rel_names, questions, bounds), "beam")
+    if own is not None:
+        own = work.write(own, "limits")
+    for _ in range(bounds.hops if own is None else own.agg(F.max("hops")).first()[0] or 1):
+        beam = work.write(hop(beam, edges, names, rel_names, questions, bounds, own), "beam")
         done = beam if done is None else done.unionByName(beam)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "state")
-    return done.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bounds.paths).select("qid", "state", "node", "score", "hop", "rank")
+    ranked = done.withColumn("rank", F.row_number().over(order))
+    kept = ranked.where(F.col("rank") <= bounds.paths) if own is None else ranked.join(own, "qid").where(F.col("rank") <= F.col("n_paths"))
+    return kept.select("qid", "state", "node", "score", "hop", "rank")
 
 
 def fair_share(paths: DataFrame, n: int) -> DataFrame:

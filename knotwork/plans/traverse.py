@@ -198,3 +198,11 @@ def direct_answer(spark, d):
     p = p.select("qid", F.col("e")[0].alias("src"), F.col("e")[1].alias("rel"), F.col("e")[2].alias("answer_id"))
     n = p.join(names.select(F.col("id").alias("src"), F.col("name").alias("s")), "src").join(rels, "rel").join(names.select(F.col("id").alias("answer_id"), F.col("name").alias("t")), "answer_id")
     return n.select("qid", "answer_id", F.concat("s", F.lit(" "), "rel_name", F.lit(" "), "t", F.lit(". [P1.E1]")).alias("answer"))
+
+
+@query()
+def adaptive_paths(spark, d):
+    """The best paths of each question within its own hops, beam width and path count."""
+    edges, names, rels, qs = _search_parts(spark, d)
+    own = traverse.limits(qs, seeds(spark, d))
+    return traverse.search(seeds(spark, d), edges, names, rels, qs, BOUNDS, own).select("qid", "state", "node", F.round("score", 6).alias("score"), F.col("hop").cast("bigint").alias("hop"), "rank")
