@@ -168,14 +168,37 @@ def search(seeds: DataFrame, edges: DataFrame, names: DataFrame, rel_names: Data
     return kept.select("qid", "state", "node", "score", "hop", "rank")
 
 
-def fair_share(paths: DataFrame, n: int) -> DataFrame:
-    """``n`` paths per question, first an equal share per seed (at least one), then the best of the rest.
+def fair_share(paths: DataFrame, n: int | Column) -> DataFrame:
+    """``n`` paths per question (a number or a column of ``paths``), first an equal share per seed (at least one), then the best of the rest.
 
     ``paths``: qid, seed, state, score. The shares never exceed ``n`` together.
     """
+    n = F.lit(n) if isinstance(n, int) else n
     seeds = paths.groupBy("qid").agg(F.count_distinct("seed").alias("n_seeds"))
     own = Window.partitionBy("qid", "seed").orderBy(F.desc("score"), "state")
-    quota = F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("n_seeds")))
+    quota = F.greatest(F.lit(1), F.floor(n / F.col("n_seeds")))
     marked = paths.join(seeds, "qid").withColumn("nth", F.row_number().over(own)).withColumn("first", F.col("nth") <= quota)
     order = Window.partitionBy("qid").orderBy(F.desc("first"), F.desc("score"), "state")
     return marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("qid", "seed", "state", "score", "first", "rank")
+
+
+def path_edges(paths: DataFrame, names: DataFrame, rel_names: DataFrame) -> DataFrame:
+    """``qid, rank, nth, src, rel, dst, s, r, t, descr`` of every edge of every path; ``nth`` counts from 1."""
+    steps = paths.select("qid", "rank", F.posexplode(F.slice(F.split("state", ";"), 2, 1000)).alias("nth", "edge")).withColumn("e", F.split("edge", r"\|"))
+    steps = steps.select("qid", "rank", (F.col("nth") + 1).alias("nth"), F.col("e")[0].alias("src"), F.col("e")[1].alias("rel"), F.col("e")[2].alias("dst"))
+    named = steps.join(names.select(F.col("id").alias("src"), F.col("name").alias("s")), "src").join(rel_names.select("rel", F.col("rel_name").alias("r")), "rel")
+    return named.join(names.select(F.col("id").alias("dst"), F.col("name").alias("t"), "descr"), "dst")
+
+
+def context(paths: DataFrame, names: DataFrame, rel_names: DataFrame) -> DataFrame:
+    """``qid, context``: one citation-labelled line for every edge of every path."""
+    line = F.concat(F.format_string("Path %d: [P%d.E%d] %s (%s) --%s (%s)--> %s (%s).", "rank", "rank", "nth", "s", "src", "r", "rel", "t", "dst"), F.when(F.col("descr") != "", F.concat(F.lit(" Target description: "), T.shorten(F.col("descr"), 240))).otherwise(""))
+    lines = path_edges(paths, names, rel_names).select("qid", F.struct("rank", "nth", line.alias("line")).alias("x")).groupBy("qid").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return lines.select("qid", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("context"))
+
+
+def answer(paths: DataFrame, names: DataFrame, rel_names: DataFrame) -> DataFrame:
+    """``qid, answer_id, answer``: the end of the best path and a sentence for each of its edges."""
+    said = F.format_string("%s %s %s. [P1.E%d]", "s", "r", "t", "nth")
+    steps = path_edges(paths.where("rank = 1"), names, rel_names).select("qid", F.struct("nth", "dst", said.alias("said")).alias("x")).groupBy("qid").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return steps.select("qid", F.element_at("xs", -1)["dst"].alias("answer_id"), F.array_join(F.transform("xs", lambda x: x["said"]), " ").alias("answer"))

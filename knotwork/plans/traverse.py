@@ -206,3 +206,31 @@ def adaptive_paths(spark, d):
     edges, names, rels, qs = _search_parts(spark, d)
     own = traverse.limits(qs, seeds(spark, d))
     return traverse.search(seeds(spark, d), edges, names, rels, qs, BOUNDS, own).select("qid", "state", "node", F.round("score", 6).alias("score"), F.col("hop").cast("bigint").alias("hop"), "rank")
+
+
+def _adaptive(spark, d):
+    edges, names, rels, qs = _search_parts(spark, d)
+    return traverse.search(seeds(spark, d), edges, names, rels, qs, BOUNDS, traverse.limits(qs, seeds(spark, d))), names, rels
+
+
+@query()
+def adaptive_context(spark, d):
+    """The citation-labelled lines of every edge of each question's best paths, over all its hops."""
+    return traverse.context(*_adaptive(spark, d))
+
+
+@query()
+def adaptive_answer(spark, d):
+    """Sentences from the best path of each question, over all its hops; questions without a path get none."""
+    return traverse.answer(*_adaptive(spark, d))
+
+
+@query()
+def adaptive_fair_share(spark, d):
+    """Paths shared fairly among the seeds of each question, over all its hops and all states that survived."""
+    edges, names, rels, qs = _search_parts(spark, d)
+    own = traverse.limits(qs, seeds(spark, d), per_seed=4)
+    every = own.withColumn("n_paths", F.col("hops") * F.col("width"))
+    found = traverse.search(seeds(spark, d), edges, names, rels, qs, BOUNDS, every).join(own.select("qid", "n_paths"), "qid")
+    paths = found.select("qid", F.split_part(F.split_part("state", F.lit(";"), F.lit(1)), F.lit(":"), F.lit(2)).alias("seed"), "state", "score", "n_paths")
+    return traverse.fair_share(paths, F.col("n_paths")).select("qid", "seed", "state", F.round("score", 6).alias("score"), "rank")
