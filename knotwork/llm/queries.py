@@ -16,11 +16,16 @@ NONPROSE_SHARE = 0.5
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return residue.residue(table(spark, folder, "entities"), "rec_id", "entity_description").select("rec_id")
+    return residue.residue(table(spark, folder, "entities"), "rec_id", "entity_description", "entity_name").select("rec_id")
+
+
+def p1_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every template with the number of its segments and its verdict."""
+    return residue.templates(residue.paths(table(spark, folder, "entities"), "rec_id", "entity_description", "entity_name"))
 
 
 def p1_clean_records(spark: SparkSession, folder: str) -> DataFrame:
-    kept = residue.without_residue(table(spark, folder, "entities"), "rec_id", "entity_description")
+    kept = residue.without_residue(table(spark, folder, "entities"), "rec_id", "entity_description", "entity_name")
     return kept.select("rec_id", "entity_id", "entity_description")
 
 
@@ -87,5 +92,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_statistics(spark, folder).where(F.col("nonprose_share") > NONPROSE_SHARE).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p6_found, p6_neighbours, p6_search, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p1_templates, p6_found, p6_neighbours, p6_search, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}

@@ -1,10 +1,11 @@
 r"""Template residue, filler and error pages among descriptions.
 
-Texts are cut into segments, and segments are sorted into the leaves of a prefix tree of fixed depth: number
-of tokens, then the first ``DEPTH`` tokens, with everything that holds a digit as the wildcard ``<*>``. A leaf is
-one message template: where its segments differ the template has the wildcard. Templates are judged once;
-verdicts go back to the segments of the leaf, and from them to the records. Unresolved slots are
-looked for separately, in the records themselves, since a slot may stand in an otherwise ordinary text.
+Texts are cut into segments, and segments are sorted into a prefix tree of fixed depth: number of tokens, then the
+first ``DEPTH`` tokens, with ``<*>`` for what holds a digit and ``<name>`` for the record's own name. Inside a leaf those
+segments are similar that agree in all words of the closed classes (function words and words of evidence); other words
+are parameters of the template. Templates are judged once, by the weight of general evidence against the other content;
+verdicts go back to the segments, and from them to the records. Unresolved slots are looked for
+separately, in the records themselves, since a slot may stand in an otherwise ordinary text.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.functions.exprs import let
+from knotwork.llm.text import FUNCTION_WORDS
+from knotwork.session import Workspace
 
-DEPTH = 6
-ANY = "<*>"
-_MASK = "\ue002"
+DEPTH = 4
+ANY, OWN, PARAMETER, SLOT_PATH = "<*>", "<name>", "<?>", "<slot>"
+_CUT = "\ue002"
+#: Where a segment ends: after a sentence mark, at line ends, at tags of blocks.
+_BOUNDARY = r"(?i)[.!?…](?=[\s\x{00A0}(])|[\r\n]|</?(?:p|br|div|span|li|b|i|em|strong)\s*/?>"
 
 _SLOT = r"[\p{L}][\p{L}\p{N}]*(?:[._-][\p{L}\p{N}]+)*"
 #: HTML elements, which are markup and no slots.
@@ -40,67 +44,46 @@ SLOTS = (
     r"<%=?\s*[^%>]{1,60}%>",
     rf"(?:<<|&lt;&lt;)\s*{_SLOT}\s*(?:>>|&gt;&gt;)",
     rf"(?:<|&lt;)\s*(?:your\s|insert\s|enter\s)\s*[^<>&]{{1,60}}(?:>|&gt;)",
-    rf"(?:<|&lt;)(?!/?(?:{HTML})\b){_SLOT}(?:>|&gt;)",
+    # A capitalised word in angle brackets is a name.
+    rf"(?:<|&lt;)(?!/?(?:{HTML})\b)(?-i:(?!\p{{Lu}}\p{{L}}*\p{{Ll}})){_SLOT}(?:>|&gt;)",
 )
 #: What every slot holds one of; it clears most texts at once.
 SLOT_HINT = r"(?i)[{\[$%#@_:<]|&lt;|goes\s+here"
 SLOT = "(?i)" + "|".join(f"(?:{s})" for s in SLOTS)
 
-_W = rf"(?:[\p{{L}}\p{{N}}]+|<\*>)"
-_STATUS = (
-    "not found|forbidden|unauthorized|unauthorised|page gone|gone|bad request|bad gateway|gateway time ?out|request time ?out|service unavailable|"
-    "service temporarily unavailable|internal server error|too many re(?:directs|quests)|access denied|permission denied|page not found|file not found|"
-    "acceso denegado|acc[eè]s refus[eé]|zugriff verweigert|page introuvable|seite nicht gefunden|página no encontrada|la página solicitada no está disponible"
-)
-#: How a further message begins that follows one without a mark between them.
-_NEXT = (
-    "error|erreur|fehler|warning query|http status|backend fetch|unhandled exception|connection timed|upstream server|could not connect|read timed|traceback most|too many|quota for|internal problem|permission missing|session expired|"
-    "service unavailable|gateway timeout|bad gateway|bad request|not found|forbidden|page gone|internal server|le serveur|ce contenu|dieser dienst|no se pudo|acceso denegado|nothing matched|the page you|the link you|the service is|the archive copy|"
-    "this content is|this account has|access to this|your request was|oops nothing|sorry this|we are sorry|something went|one moment"
-)
-_SCRIPT = r"(?:javascript|java script|js|scripts?|scripting|noscript|skripte?|client side code|cookies?)"
-_ON = r"(?:enable|activate|allow|accept|turn on|turn them on|switch on|activez?|activer|autoriser|aktivieren|erlauben|einschalten|activar|habilitar|habilite|permitir)"
-_OFF = r"(?:disabled|turned off|switched off|blocked|not available|not supported|deaktiviert|ausgeschaltet|désactivé|désactivés|desactivado|desactivados|deshabilitado)"
-_JUNK = r"bla|blah|text|test|dummy|foo|bar|baz|qux|asd|asdf|asdfg|asdfgh|asdfghjkl|qwe|qwer|qwert|qwerty|zxcv|yxcv|jkl|hjkl|xyz|xxx+|abc|sample|blub|tralala"
-#: Messages that are a whole segment.
-WHOLE = (
-    rf"^(?:(?:http|https) )?(?:(?:error|erreur|fehler|code|status|http status|status code) )?(?:<\*> )?(?:{_STATUS})(?: <\*>)?(?: (?:ray|id|ref|reference|incident|xid)(?: id)? {_W})?$",
-    rf"^(?:<\*> )?(?:{_STATUS})(?: <\*>)? (?:{_NEXT})\b",
-    rf"^(?:error|erreur|fehler|http|http status|status) <\*>(?: (?:{_STATUS}).*)?$",
-    r"^(?:loading|we are sorry|oops|please wait|untitled|placeholder|tbd|todo|tba|n a|lorem|not available|no description|no text|undefined|null|nan|none)$",
-    r"^(?:loading )?if nothing happens allow scripts$",
-    rf"^(?:{_JUNK})(?: (?:{_JUNK}))+$",
-    r"^x{3,}(?: x{3,})*$",
-)
-#: Messages that give a segment away wherever they stand in it.
-INSIDE = (
-    # pages that could not be had
-    r"\bnothing (?:matched|here matches) (?:this|your)\b", r"\boops nothing here\b", r"\bpage (?:you requested|you are looking for) (?:could not|cannot|was not|does not)\b",
-    r"^sorry this page\b", r"^this page (?:no longer|does not|could not|cannot|is not available)\b", r"\bthe link you followed may\b", r"^this content is not available\b", r"^this account has been\b",
-    r"^access to this (?:resource|page|site) is (?:denied|restricted|forbidden|blocked|<\*>)", r"^permission missing\b", r"^your request (?:was|has been) (?:blocked|denied|rejected)\b",
-    r"^session expired\b", r"^too many requests from your\b", r"^the service is (?:down|unavailable|temporarily)\b", r"^please try again later\b", r"^something went wrong\b",
-    r"\bcould not connect to the (?:database|server|host)\b", r"^(?:read|connection|request|operation) timed out\b", r"^backend fetch failed\b", r"^unhandled exception\b", r"^upstream server returned\b",
-    r"^traceback most recent call last\b", r"^warning query failed\b", r"^quota for key\b", r"^internal problem the administrator\b", r"^incident number\b", r"^the archive copy of this page is damaged\b",
-    r"^referencia <\*>$", r"^(?:fatal|parse|syntax|database|server|internal) error\b", r"^exception in thread\b", r"^segmentation fault\b", r"^stack ?trace\b", r"^ce contenu n est plus\b", r"^cette page n existe\b",
-    r"^le serveur (?:a mis|ne répond|est)\b", r"^dieser dienst ist vorübergehend\b", r"^diese seite (?:existiert|ist) (?:nicht|derzeit nicht)\b", r"^no se pudo cargar\b", r"^esta página (?:no|ya no)\b",
-    # scripts, cookies, checks of the browser
-    rf"^(?:please |you need to |you must |veuillez |bitte |por favor |para ver )?{_ON} (?:{_W} ){{0,3}}{_SCRIPT}\b", rf"^es necesario (?:{_W} ){{0,3}}{_SCRIPT}\b", r"^bitte aktivieren sie\b",
-    rf"^{_SCRIPT} (?:is|are|sind|ist|seems to be|est|está|must be) (?:{_W} )?{_OFF}\b", rf"^it looks like your (?:{_W} ){{1,3}}has scripts\b", r"^for full functionality\b", r"^app requires js\b",
-    r"^this (?:site|page|app|application|view|website) (?:needs|requires|uses|works only with|relies on|depends on) (?:scripts?|scripting|javascript|cookies?|client side code)\b",
-    r"^this application works best with a newer\b", rf"^our pages rely on\b", r"^noscript\b", rf"^your (?:{_W} ){{1,2}}does not support scripts\b", rf"^(?:the|this|your|an?) (?:{_W} ){{1,3}}blocked a script\b",
-    rf"^we use {_SCRIPT}\b", r"^accept all (?:to|cookies)\b", r"^turn them on and reload\b", r"\bscripts? and cookies\b", r"^checking your (?:browser|connection)\b", r"^prove you are (?:a )?human\b",
-    r"^(?:one|just a) moment\b.*\b(?:verifying|checking)\b", r"\bverify(?:ing)? (?:that )?you are (?:a )?human\b", r"^le script nécessaire\b", r"^switch on scripting\b", r"^complete the captcha\b",
-    # texts still to be written
-    r"^description (?:to be added|pending|missing|coming|goes here|follows|needed)\b", r"^beschreibung (?:folgt|fehlt|in arbeit)\b", r"^texte? (?:à compléter|à venir|folgt)\b", r"^descripción pendiente\b",
-    r"^description (?:à|en) (?:compléter|venir|cours|attente)\b", r"^hier steht später\b", r"^coming soon (?:a|the|description)\b.*\bdescription\b", r"^sample (?:description|text|entry) (?:number )?<\*>", r"^untitled (?:record|page|entry|item)\b",
-    r"^no (?:text|description|summary) (?:entered|available|given|added|provided|yet)\b", r"^your (?:text|description|summary) here$", r"^(?:enter|insert|write|type|put) (?:a|an|the|your) (?:short |brief )?(?:description|text|summary)\b.*\bhere$",
-    r"^add (?:a|some|two|one|three)\b.*\bsentences? about\b.*\bhere$", r"^(?:todo|to do|fixme|tbd|tba)\b (?:write|add|describe|fill|complete|translate|waiting|to|by|later|soon)\b", r"^placeholder\b.*\b(?:replace|text|later)\b", r"^fill in what\b", r"^this is (?:dummy|sample|placeholder|filler) text\b",
-    r"^dear editor please describe\b", r"^welcome to the page of\b", r"^replace this (?:text|sentence)\b",
+# Public vocabulary of pages, failures, requests to the reader and texts still to be written, in English,
+# German, French and Spanish. A word is evidence by itself; no sentence is listed.
+MEDIUM = (
+    "page pages site sites website webpage browser server servers database host network connection request requests query link address url uri account session resource resources content service module backend upstream "
+    "gateway script scripts scripting javascript js noscript cookie cookies app application version settings code status http https token quota key reader viewer client search view privacy ray xid id ref reference number copy "
+    "seite seiten dienst skript skripte verbindung anfrage inhalt konto sitzung datenbank serveur contenu navigateur requête connexion compte lien página sitio servidor navegador contenido conexión cuenta enlace solicitud referencia"
+).split()
+FAULT = (
+    "error errors erreur fehler exception unhandled failed fails failure denied forbidden unauthorized unauthorised restricted blocked unavailable available disabled unsupported expired suspended removed broken damaged missing gone bad "
+    "timeout timed refused rejected exceeded invalid wrong went oops sorry warning problem internal null undefined traceback nothing found matched returned cannot could redirects many longer incident fatal required necessary off "
+    "gefunden deaktiviert ausgeschaltet verweigert gesperrt abgelaufen erreichbar existiert vorübergehend introuvable refusé interdit désactivé désactivés indisponible nécessaire accessible chargé trop temps répondre "
+    "denegado acceso prohibido desactivado desactivados deshabilitado encontrada encontrado disponible necesario pudo"
+).split()
+REQUEST = (
+    "you your our please try again reload refresh retry read wait waiting enable activate allow accept turn turned switch switched sign log prove verify verifying checking human robot captcha continue loading load loaded maintenance use "
+    "support supported requires needs rely works newer update upgrade administrator notified moment permission access welcome call recent "
+    "veuillez vous votre activer autoriser activez afficher continuer charger bitte sie ihr ihre ihren aktivieren erlauben einschalten fortzufahren laden favor active activar habilitar habilite permitir continuar cargar"
+).split()
+STUB = (
+    "todo fixme tbd tba placeholder dummy sample untitled lorem filler description descriptions summary text texts entry record item sentence sentences paragraph editor short pending later soon coming follows added entered yet here add write enter "
+    "insert replace fill describe beschreibung folgt fehlt kürze später steht hier texte compléter venir ici descripción pendiente redactar resumen aquí"
+).split()
+EVIDENCE = tuple(dict.fromkeys(MEDIUM + FAULT + REQUEST + STUB))
+#: Words that make a message of a segment even where they are its only content.
+TELLING = tuple(
+    "error errors erreur fehler exception denied forbidden unauthorized unauthorised unavailable timeout timed found gone sorry oops denegado verweigert refusé introuvable expired loading traceback todo fixme tbd tba placeholder dummy untitled "
+    "lorem fill pending noscript undefined null captcha".split()
 )
-#: Forms that begin a segment share one anchor, so that other places of a segment are not tried for them.
-_ANCHORED = [p[1:] for p in (*WHOLE, *INSIDE) if p.startswith("^")]
-_FREE = [p for p in (*WHOLE, *INSIDE) if not p.startswith("^")]
-MESSAGE = "^(?:" + "|".join(f"(?:{p})" for p in _ANCHORED) + ")|" + "|".join(f"(?:{p})" for p in _FREE)
+#: Marks of open tasks; at the beginning of a segment they weigh as much as two further words.
+TASKS = ("fixme", "tbd", "tba")
+#: Tokens of keyboard tests.
+JUNK = tuple("bla blah text test dummy foo bar baz qux asd asdf asdfg asdfgh asdfghjkl qwe qwer qwert qwerty zxcv yxcv jkl hjkl xyz abc sample blub tralala".split())
+_LINKING = "out off via ms like looks seems something".split()
 
 #: Fixed words of filler texts in invented Latin.
 LATIN = (
@@ -111,60 +94,95 @@ LATIN = (
 ).split()
 
 
-def segments(text: Column) -> Column:
-    """Sentences and lines of a text, each as its lower-case tokens with ``<*>`` for tokens that hold a digit."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?i)</?(?:p|br|div|span|li|b|i|em|strong)\s*/?>", "\n"), r"(?i)&nbsp;|\x{00A0}", " ")
-    pieces = F.split(plain, r"(?<=[.!?…])\s+|[\r\n]+|(?<=[.!?…])(?=\()")
-    return F.filter(F.transform(pieces, _masked), lambda s: s != "")
+CLOSED = tuple(dict.fromkeys([w for kinds in FUNCTION_WORDS.values() for part in kinds for w in part.split()] + _LINKING))
+_FUNCTION = tuple(w for w in CLOSED if w not in set(EVIDENCE))
+_MARKS = (ANY, OWN)
+_FAULT_WORD = "(error|exception)$"
+_RUN_OF_X = "^x{2,}$"
+
+
+def _among(token: str, *words: str) -> str:
+    """SQL that tells whether a token is one of the words, a lookup in one set."""
+    return f"{token} IN ({', '.join(repr(w) for w in dict.fromkeys(words))})"
+
+
+_SHOWN = f"({_among('x', *EVIDENCE)} OR x RLIKE '{_FAULT_WORD}')"
+#: What a template keeps behind its first tokens.
+_KEPT = f"(i < {DEPTH} OR {_among('x', *CLOSED, *EVIDENCE, *JUNK, *LATIN, ANY, OWN)} OR x RLIKE '{_FAULT_WORD}' OR x RLIKE '{_RUN_OF_X}')"
+_TEMPLATE = f"array_join(transform(split(s, ' '), (x, i) -> CASE WHEN {_KEPT} THEN x ELSE '{PARAMETER}' END), ' ')"
+#: Distinct words of evidence, other content, and the two kinds of keyboard filler, of the tokens ``t`` of a template.
+_WEIGHT = f"(size(array_distinct(filter(t, x -> {_SHOWN}))) + CASE WHEN {_among('get(t, 0)', *TASKS)} THEN 2 ELSE 0 END)"
+_OTHER = f"size(filter(t, x -> NOT ({_among('x', *EVIDENCE, *_FUNCTION, ANY, OWN)} OR x RLIKE '{_FAULT_WORD}')))"
+_TELLING = f"exists(t, x -> {_among('x', *TELLING)} OR x RLIKE '{_FAULT_WORD}')"
+_KEYBOARD = f"((size(t) > 1 AND forall(t, x -> {_among('x', *JUNK)})) OR (length(array_join(t, '')) >= 3 AND forall(t, x -> x RLIKE '{_RUN_OF_X}')))"
+#: Words of evidence outweigh the rest: at least two of them, or a telling one alone. Numbers, the record's own name and function words say nothing.
+_MESSAGE = f"(({_WEIGHT} >= 2 AND {_OTHER} < {_WEIGHT}) OR ({_WEIGHT} = 1 AND {_OTHER} = 0 AND {_TELLING}) OR {_KEYBOARD})"
+#: At least three words, and at least four fifths of the words, are those of filler Latin, two of them longer ones.
+_FILLER = (
+    f"(size(t) >= 3 AND size(filter(t, x -> {_among('x', *LATIN)})) >= 0.8 * size(t) AND size(array_distinct(filter(t, x -> {_among('x', *[w for w in LATIN if len(w) > 4])}))) >= 2)"
+)
+
+
+def _tokens(text: Column) -> Column:
+    """Lower-case tokens, each behind a single blank, ``<*>`` for tokens that hold a digit; ends of segments stay, as tokens."""
+    bare = F.regexp_replace(F.concat(F.lit(" "), F.lower(text)), rf"[^\p{{L}}\p{{M}}\p{{N}}{_CUT}]+", " ")
+    return F.regexp_replace(F.replace(bare, F.lit(_CUT), F.lit(f" {_CUT} ")), r"(?<= )[^ \p{N}]*+\p{N}[^ ]*+", ANY)
 
 
-def _masked(segment: Column) -> Column:
-    """Lower-case tokens with single blanks; a private-use character stands for the wildcard meanwhile."""
-    low = F.replace(F.lower(segment), F.lit(_MASK), F.lit(" "))
-    digits = F.regexp_replace(low, r"(?<![\p{L}\p{M}\p{N}])(?=[\p{L}\p{M}]*\p{N})[\p{L}\p{M}\p{N}]+", _MASK)
-    return F.replace(F.trim(F.regexp_replace(digits, rf"[^\p{{L}}\p{{M}}{_MASK}]+", " ")), F.lit(_MASK), F.lit(ANY))
+def segments(text: Column, name: Column | None = None) -> Column:
+    """Sentences and lines of a text, each as tokens between single blanks; the record's own ``name`` becomes ``<name>``."""
+    cut = F.regexp_replace(F.replace(text, F.lit(_CUT), F.lit(" ")), _BOUNDARY, _CUT)
+    plain = F.concat(_tokens(F.replace(cut, F.lit("&nbsp;"), F.lit(" "))), F.lit(" "))
+    if name is not None:
+        own = F.rtrim(_tokens(F.coalesce(F.replace(name, F.lit(_CUT), F.lit(" ")), F.lit(""))))
+        # A name of one character, or none, is replaced by what cannot occur.
+        plain = F.replace(plain, F.when(F.length(own) > 2, F.concat(own, F.lit(" "))).otherwise(F.lit("\n")), F.lit(f" {OWN} "))
+    return F.filter(F.transform(F.split(plain, _CUT), lambda s: F.trim(F.regexp_replace(s, "  +", " "))), lambda s: s != "")
 
 
-def is_filler(segment: Column) -> Column:
-    """Whether at least three words, and at least four fifths of the words, are those of filler Latin."""
-    known = F.array(*map(F.lit, LATIN))
-    telling = F.array(*map(F.lit, [w for w in LATIN if len(w) > 4]))
-    return let(F.split(segment, " "), lambda w: (F.size(w) >= 3) & (F.size(F.array_intersect(w, telling)) >= 2) & (F.size(F.filter(w, lambda x: F.array_contains(known, x))) >= 0.8 * F.size(w)))
+def templates(paths: DataFrame) -> DataFrame:
+    """``template, n_segments, verdict`` of one row per segment (``template``): each template is judged once.
 
+    ``verdict`` is ``message``, ``filler`` or null.
+    """
+    found = paths.groupBy("template").agg(F.count(F.lit(1)).alias("n_segments")).withColumn("t", F.split("template", " "))
+    return found.withColumn("verdict", F.expr(f"CASE WHEN {_MESSAGE} THEN 'message' WHEN {_FILLER} THEN 'filler' END")).drop("t")
 
-def _leaf(segment: Column) -> Column:
-    return let(F.split(segment, " "), lambda t: F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)))
 
+def has_slot(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(SLOT_HINT)) & F.regexp_like(text, F.lit(SLOT))
 
-def templates(segs: DataFrame) -> DataFrame:
-    """``leaf, template, n`` of segments ``leaf, segment``: tokens in which the least and the greatest segment differ are ``<*>``."""
-    ends = segs.groupBy("leaf").agg(F.min("segment").alias("lo"), F.max("segment").alias("hi"), F.count(F.lit(1)).alias("n"))
-    same = F.zip_with(F.split("lo", " "), F.split("hi", " "), lambda a, b: F.when(a == b, a).otherwise(ANY))
-    return ends.select("leaf", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.array_join(same, " ")).alias("template"), "n")
 
+def paths(df: DataFrame, key: str, field: str, name: str | None = None) -> DataFrame:
+    """``key, template``: one row per segment of each text, and one with the template ``<slot>`` for a text with a slot.
 
-def judge(found: DataFrame) -> DataFrame:
-    """Templates with their ``verdict``: ``message``, ``filler`` or null."""
-    return found.withColumn("verdict", F.when(F.regexp_like("template", F.lit(MESSAGE)), "message").when(is_filler(F.col("template")), "filler"))
+    The template of a segment is its path in the tree: number of tokens (which it keeps), first ``DEPTH`` tokens, then the words of
+    the closed classes and ``<?>`` for each other word. It depends on no other segment.
+    """
+    own = df[name].alias("own") if name else F.lit(None).cast("string").alias("own")
+    texts = df.select(df[key].alias("key"), df[field].alias("txt"), own).where("txt is not null").withColumn("slotted", has_slot(F.col("txt")))
+    bare = F.when(F.col("slotted"), F.regexp_replace("txt", SLOT, " ")).otherwise(F.col("txt"))
+    cut = texts.select("key", "slotted", segments(bare, F.col("own") if name else None).alias("segs"))
+    both = f"concat(transform(segs, s -> {_TEMPLATE}), CASE WHEN slotted THEN array('{SLOT_PATH}') ELSE CAST(array() AS array<string>) END)"
+    return cut.select("key", F.explode(F.expr(both)).alias("template"))
 
 
-def residue(df: DataFrame, key: str, field: str) -> DataFrame:
+def residue(df: DataFrame, key: str, field: str, name: str | None = None) -> DataFrame:
     """One row per record with residue: ``key`` and ``kinds``, a sorted array of ``filler``, ``message`` and ``slot``.
 
-    Null and blank texts have no residue; a record counts once however many segments are residue; repeated rows with
-    one key are one record. Very long texts are read whole. An empty table gives an empty result; only the key and the
-    text are read.
+    ``name`` is the column with the record's own name, which counts neither for nor against a message. Null and blank texts
+    have no residue; a record counts once however many segments are residue; repeated rows with one key are one record. Very
+    long texts are read whole. An empty table gives an empty result; only key, text and name are read. Whether a record has
+    residue depends on that record alone: templates are shared, but no other row changes the template of a segment.
     """
-    texts = df.select(df[key].alias("key"), df[field].alias("txt")).where("txt is not null")
-    segs = texts.select("key", F.explode(segments(F.col("txt"))).alias("segment")).withColumn("leaf", _leaf(F.col("segment")))
-    bad = judge(templates(segs.select("leaf", "segment"))).where("verdict is not null").select("leaf", "verdict")
-    # A filler text varies too much for its template to keep its words: its segments are judged one by one as well.
-    judged = segs.select("key", "leaf", is_filler(F.col("segment")).alias("filler")).join(bad, "leaf", "left")
-    by_segment = judged.select("key", F.coalesce("verdict", F.when(F.col("filler"), "filler")).alias("kind")).where("kind is not null")
-    by_slot = texts.where(F.regexp_like("txt", F.lit(SLOT_HINT)) & F.regexp_like("txt", F.lit(SLOT))).select("key", F.lit("slot").alias("kind"))
-    return by_segment.unionByName(by_slot).groupBy("key").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)
+    work = Workspace(df.sparkSession, "residue")
+    held = work.write(paths(df, key, field, name), "paths")
+    bad = templates(held.where(F.col("template") != SLOT_PATH)).where("verdict is not null").select("template", "verdict")
+    by_template = held.join(bad, "template").select("key", F.col("verdict").alias("kind"))
+    by_slot = held.where(F.col("template") == SLOT_PATH).select("key", F.lit("slot").alias("kind"))
+    return by_template.unionByName(by_slot).groupBy("key").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("key", key)
 
 
-def without_residue(df: DataFrame, key: str, field: str) -> DataFrame:
+def without_residue(df: DataFrame, key: str, field: str, name: str | None = None) -> DataFrame:
     """The rows whose text has no residue; rows with a null key stay."""
-    return df.join(residue(df, key, field).select(key), key, "left_anti")
+    return df.join(residue(df, key, field, name).select(key), key, "left_anti")

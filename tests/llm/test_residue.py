@@ -1,4 +1,6 @@
-from knotwork.llm.residue import residue, without_residue
+import random
+
+from knotwork.llm.residue import paths, residue, templates, without_residue
 
 SCHEMA = "rec bigint, descr string, key string, segment string"
 BAD = {
@@ -42,3 +44,31 @@ def test_exclusion_keeps_the_rest_and_null_keys(spark):
 def test_empty_and_very_long(spark):
     assert found(spark, []) == {}
     assert found(spark, ["A quiet town. " * 20000 + "Read timed out."]) == {0: ["message"]}
+
+
+def test_other_rows_change_no_verdict(spark):
+    alone = ["One moment please we are now verifying on the town", "Just a moment while we are verifying your connection", "Sample description number 7"]
+    ordinary = ["One moment please we are now zooming on the town", "One moment please we are now acting on the town", "Just a moment while we are crossing your river", "Sample barley number 7"]
+    assert found(spark, alone) == dict.fromkeys(range(3), ["message"])
+    rng = random.Random(3)
+    words = ["One", "moment", "mill", "river", "we", "are", "now", "near", "Just", "a", "while", "stone", "Sample", "7"]
+    crowd = alone + ordinary + [" ".join(rng.choice(words) for _ in range(rng.randrange(2, 11))) for _ in range(300)]
+    assert {k for k in found(spark, crowd) if k < 3} == {0, 1, 2}
+
+
+def test_all_segments_of_a_template_share_its_verdict(spark):
+    texts = [f"The mill near {place} kept the {thing} of the old town." for place in ("Yo", "Ka") for thing in ("bell", "boat")] + ["Please reload this page of the site."] * 3
+    df = spark.createDataFrame([(i, t, "k", "s") for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.template: (r.n_segments, r.verdict) for r in templates(paths(df, "rec", "descr")).collect()}
+    assert sorted(rows.values(), key=str) == [(2, None), (2, None), (3, "message")]
+
+
+def test_own_name_is_no_content(spark):
+    rows = [(1, "Welcome to the page of Old Mill of Yobe!", "Old Mill of  Yobe", "s"), (2, "Old Mill of Yobe is a mill.", "Old Mill of Yobe", "s"), (3, "Fixme no summary for Yobe", None, "s"), (4, "Yobe, written <Tivo> in old letters, is a town", "x", "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.rec for r in residue(df, "rec", "descr", "key").collect()} == {1, 3}
+
+
+def test_ten_times_the_rows_give_the_same_share(spark):
+    texts = list(BAD) + GOOD
+    assert set(found(spark, texts * 10)) == {i for i in range(10 * len(texts)) if i % len(texts) < len(BAD)}
