@@ -42,27 +42,50 @@ def index_quantiles(df: DataFrame, by: str, value: str) -> DataFrame:
     return ranked.groupBy(by).agg(at(F.lit(0.5)).alias("median"), at(F.lit(0.95)).alias("p95"))
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = 1000, step: int = 7919, shift: int = 104_729) -> DataFrame:
-    """One row: mean difference of ``a - b`` with the 2.5 and 97.5 percentiles over ``resamples`` resamples.
+#: Upper ends of the Poisson(1) distribution function: a uniform number below the i-th end, and no earlier one, draws i.
+_POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998980223, 0.99999887480, 0.99999988857)
 
-    ``pairs``: pos (0 to n - 1), a, b. Draw i of resample r is the item at ``hash(i, r) mod n`` with
-    ``hash = (i * step + r * shift + i * r) * (r + 1)``, so every engine draws alike and nothing is collected.
+
+def poisson_weight(key: Column, resample: Column) -> Column:
+    """How often an item is drawn into a resample: Poisson(1), from the first 48 bits of the MD5 of ``resample:key``.
+
+    Any engine can recompute it, and whether an item is drawn depends on no other item.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", resample.cast("string"), key.cast("string"))), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+    out = None
+    for n, end in enumerate(_POISSON):
+        out = F.when(u < end, n) if out is None else out.when(u < end, n)
+    return out.otherwise(len(_POISSON))
+
+
+def _resampled(items: DataFrame, resamples: int) -> DataFrame:
+    """``m``: the pooled mean ``sum(s) / sum(c)`` of every resample of ``items`` (key, s, c).
+
+    Weights are summed on the map side, so ``resamples`` rows a task are shuffled and nothing is joined.
+    """
+    draws = items.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", poisson_weight(F.col("key"), F.col("r")))
+    return draws.groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"))
+
+
+def _interval(items: DataFrame, resamples: int, name: str) -> DataFrame:
+    """One row: the pooled mean of the items and the 2.5 and 97.5 percentiles over the resamples (at most ``resamples`` values)."""
+    point = items.agg(F.try_divide(F.sum("s"), F.sum("c"))).scalar()
+    return _resampled(items, resamples).agg(F.round(point, 6).alias(name), F.round(F.expr("percentile(m, 0.025)"), 6).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 6).alias("high"))
+
+
+def paired_bootstrap(pairs: DataFrame, resamples: int = 1000) -> DataFrame:
+    """One row: mean ``difference`` of ``a - b`` with the ``low`` and ``high`` ends of its 95 % bootstrap interval.
+
+    ``pairs``: key (unique), a, b. Each resample draws every item a Poisson(1) number of times, which for many items is the
+    bootstrap with replacement. Pairs with a null side are left out; an empty table gives one row of nulls.
+    """
+    return _interval(pairs.where("a is not null and b is not null").select("key", (F.col("a") - F.col("b")).alias("s"), F.lit(1).alias("c")), resamples, "difference")
+
+
+def cluster_bootstrap(rows: DataFrame, resamples: int = 1000) -> DataFrame:
+    """As ``paired_bootstrap``, drawing whole clusters: ``rows`` has cluster, value; the statistic is the pooled ``mean``.
+
+    Rows with a null cluster form one cluster.
     """
-    n = pairs.agg(F.count(F.lit(1))).scalar()
-    draws = pairs.select("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))).alias("r"))
-    at = F.pmod((F.col("pos") * step + F.col("r") * shift + F.col("pos") * F.col("r")) * (F.col("r") + 1), n)
-    means = draws.select("r", at.alias("pos")).join(pairs.select("pos", (F.col("a") - F.col("b")).alias("d")), "pos").groupBy("r").agg(F.avg("d").alias("m"))
-    point = pairs.agg(F.avg(F.col("a") - F.col("b"))).scalar()
-    return means.agg(F.round(point, 6).alias("difference"), F.round(F.expr("percentile(m, 0.025)"), 6).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 6).alias("high"))
-
-
-def cluster_bootstrap(rows: DataFrame, resamples: int = 1000, step: int = 7919, shift: int = 104_729) -> DataFrame:
-    """As ``paired_bootstrap``, drawing whole clusters: ``rows`` has cluster, value; the statistic is the pooled mean."""
-    per = rows.groupBy("cluster").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
-    per = per.withColumn("pos", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("bigint"))  # one row per cluster
-    n = per.agg(F.count(F.lit(1))).scalar()
-    draws = per.select("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))).alias("r"))
-    at = F.pmod((F.col("pos") * step + F.col("r") * shift + F.col("pos") * F.col("r")) * (F.col("r") + 1), n)
-    means = draws.select("r", at.alias("pos")).join(per.select("pos", "s", "c"), "pos").groupBy("r").agg((F.sum("s") / F.sum("c")).alias("m"))
-    point = rows.agg(F.avg("value")).scalar()
-    return means.agg(F.round(point, 6).alias("mean"), F.round(F.expr("percentile(m, 0.025)"), 6).alias("low"), F.round(F.expr("percentile(m, 0.975)"), 6).alias("high"))
+    per = rows.groupBy("cluster").agg(F.sum("value").alias("s"), F.count("value").alias("c")).where("c > 0")
+    return _interval(per.select(F.coalesce(F.col("cluster").cast("string"), F.lit("")).alias("key"), "s", "c"), resamples, "mean")

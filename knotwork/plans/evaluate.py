@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
@@ -111,16 +110,19 @@ def metric_rows(spark, d):
 
 
 ROWS = f"{COVER}, {SETS}, mr AS (SELECT s.item_id, s.rule_index, coalesce(k::DOUBLE / nullif(len(list_distinct(gold)), 0), 0) AS a, coalesce(found::DOUBLE / n, 0) AS b FROM ss s LEFT JOIN cv ON cv.item_id = s.item_id)"
-_DRAW = "((pos * 7919 + r * 104729 + pos * r) * (r + 1)) % n"
+_ENDS = " ".join(f"WHEN u < {end}::DOUBLE THEN {n}" for n, end in enumerate(metrics._POISSON))
+#: Poisson(1) draws of the items ``it`` (key, s, c) and the interval over all resamples.
+_BOOT = f"""dr AS (SELECT r, s, c, CAST('0x' || substr(md5(r || ':' || key), 1, 12) AS BIGINT) / {float(1 << 48)}::DOUBLE AS u FROM it, (SELECT unnest(range({RESAMPLES})) AS r) q),
+m AS (SELECT sum(w * s) / nullif(sum(w * c), 0) AS m FROM (SELECT r, s, c, CASE {_ENDS} ELSE {len(metrics._POISSON)} END AS w FROM dr) GROUP BY r)
+SELECT round((SELECT sum(s) / sum(c) FROM it), 6) AS {{name}}, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
 
 
-@query(f"WITH {ROWS}, p AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, a, b FROM mr), c AS (SELECT count(*) AS n FROM p), dr AS (SELECT r, {_DRAW} AS pos FROM p, c, (SELECT unnest(range({RESAMPLES})) AS r) q), m AS (SELECT dr.r, avg(p.a - p.b) AS m FROM dr JOIN p ON p.pos = dr.pos GROUP BY dr.r) SELECT round((SELECT avg(a - b) FROM p), 6) AS difference, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
+@query(f"WITH {ROWS}, it AS (SELECT CAST(item_id AS VARCHAR) AS key, a - b AS s, 1 AS c FROM mr), {_BOOT.format(name='difference')}")
 def paired_bootstrap(spark, d):
-    numbered = metric_rows(spark, d).withColumn("pos", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("bigint"))  # one row per test item
-    return metrics.paired_bootstrap(numbered.select("pos", "a", "b"), RESAMPLES)
+    return metrics.paired_bootstrap(metric_rows(spark, d).select(F.col("item_id").alias("key"), "a", "b"), RESAMPLES)
 
 
-@query(f"WITH {ROWS}, g AS (SELECT rule_index AS cluster, sum(b) AS s, count(b) AS c FROM mr GROUP BY rule_index), p AS (SELECT row_number() OVER (ORDER BY cluster NULLS FIRST) - 1 AS pos, s, c FROM g), c AS (SELECT count(*) AS n FROM p), dr AS (SELECT r, {_DRAW} AS pos FROM p, c, (SELECT unnest(range({RESAMPLES})) AS r) q), m AS (SELECT dr.r, sum(p.s) / sum(p.c) AS m FROM dr JOIN p ON p.pos = dr.pos GROUP BY dr.r) SELECT round((SELECT avg(b) FROM mr), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
+@query(f"WITH {ROWS}, it AS (SELECT coalesce(rule_index, '') AS key, sum(b) AS s, count(b) AS c FROM mr GROUP BY rule_index), {_BOOT.format(name='mean')}")
 def cluster_bootstrap(spark, d):
     return metrics.cluster_bootstrap(metric_rows(spark, d).select(F.col("rule_index").alias("cluster"), F.col("b").alias("value")), RESAMPLES)
 
