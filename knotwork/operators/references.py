@@ -2,10 +2,11 @@
 
 The keys of the parent tables are cut into ranges of their 64-bit hash, so that all ranges have
 the same expected size whatever the ids look like and no sampling pass is needed. Each range holds
-its parents as arrays sorted by key. References go to the range of their key; ranges that draw more
+its parents as arrays sorted by hash, which say in 8 bytes a key where to look, however long the ids are; the ids themselves
+decide. References go to the range of their key; ranges that draw more
 than ``batch_rows`` references are split by a salt, and only such ranges have their parents copied.
 A batch of references (one range and salt) is probed by one vectorised binary search of its
-distinct keys, and the misses are read off by index.
+distinct keys, and the misses are read off by index. There are as many tasks as batches.
 """
 
 from __future__ import annotations
@@ -44,30 +45,46 @@ def parent_spans(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     )
 
 
-def _range_of(key: Column | str, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits).cast("int") if bits else F.lit(0)
+def _range_of(hashed: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - bits).cast("int") if bits else F.lit(0)
+
+
+def _locate(hashes: np.ndarray, wanted: np.ndarray, same) -> np.ndarray:
+    """Position of each wanted key in the sorted ``hashes``, -1 where it is not there.
+
+    ``same(which, at)`` tells for positions whose hashes agree whether the keys themselves do; of keys with one hash each is tried.
+    """
+    at = np.searchsorted(hashes, wanted)
+    found = np.full(len(wanted), -1)
+    open_ = np.arange(len(wanted))
+    while True:
+        open_ = open_[at[open_] < len(hashes)]
+        open_ = open_[hashes[at[open_]] == wanted[open_]]
+        if not len(open_):
+            return found
+        hit = same(open_, at[open_])
+        found[open_[hit]] = at[open_[hit]]
+        open_ = open_[~hit]
+        at[open_] += 1
 
 
 def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
     refs, parents = left.combine_chunks(), right.combine_chunks()
-    encoded = pc.dictionary_encode(refs["ref_key"].combine_chunks() if isinstance(refs["ref_key"], pa.ChunkedArray) else refs["ref_key"])
-    if isinstance(encoded, pa.ChunkedArray):
-        encoded = encoded.combine_chunks()
-    wanted = np.array(encoded.dictionary.to_pylist(), dtype=object).astype(str)
-    keys = np.array(parents["ref_key"].to_pylist(), dtype=object).astype(str)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    came = parents["came"].to_numpy()[order]
-    gone = parents["gone"].to_numpy()[order]
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        known = keys[at] == wanted
-        since = np.where(known, came[at], NEVER)
-        until = np.where(known, gone[at], NEVER)
-    else:
-        since = np.full(len(wanted), NEVER)
-        until = np.full(len(wanted), NEVER)
+    encoded = pc.dictionary_encode(refs["ref_key"])
+    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
+    encoded = encoded.chunk(0) if isinstance(encoded, pa.ChunkedArray) else encoded
     index = encoded.indices.to_numpy(zero_copy_only=False)
+    words = encoded.dictionary
+    wanted = np.zeros(len(words), np.int64)
+    wanted[index] = refs["ref_hash"].to_numpy()
+    order = np.argsort(parents["ref_hash"].to_numpy(), kind="stable")
+    keys = parents["ref_key"]
+    same = lambda which, at: pc.equal(words.take(pa.array(which)), keys.take(pa.array(order[at]))).to_numpy(zero_copy_only=False)
+    found = _locate(parents["ref_hash"].to_numpy()[order], wanted, same)
+    known = found >= 0
+    spot = order[found[known]]
+    since, until = np.full(len(wanted), NEVER), np.full(len(wanted), NEVER)
+    since[known], until[known] = parents["came"].to_numpy()[spot], parents["gone"].to_numpy()[spot]
     moment = refs["ref_at"].to_numpy()
     miss = (since[index] > moment) | (until[index] <= moment)
     absent = since[index] == NEVER
@@ -114,7 +131,8 @@ def orphan_references(
         )
         .select("row_id", "ref_at", "r.field", "r.ref_key")
         .where("ref_key is not null")
-        .withColumn("range", _range_of("ref_key", bits))
+        .withColumn("ref_hash", F.xxhash64("ref_key"))
+        .withColumn("range", _range_of(F.col("ref_hash"), bits))
     )
     # At most MAX_RANGES rows of (int, int): a bounded broadcast. Ranges that need no salt are left out.
     hot = (
@@ -122,7 +140,7 @@ def orphan_references(
         .where("ref_key is not null")
         .groupBy("ref_key")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(_range_of("ref_key", bits).alias("range"))
+        .groupBy(_range_of(F.xxhash64("ref_key"), bits).alias("range"))
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") > batch_rows)
         .select("range", F.ceil(F.col("n") / batch_rows).cast("int").alias("salts"))
@@ -131,14 +149,18 @@ def orphan_references(
     salted = (
         refs.join(hot, "range", "left")
         .withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.hash("row_id", "field"), F.col("salts"))))
-        .select("range", "salt", "row_id", "field", "ref_at", "ref_key")
+        .select("range", "salt", "row_id", "field", "ref_at", "ref_key", "ref_hash")
     )
     held = (
-        spans.withColumn("range", _range_of("ref_key", bits))
+        spans.withColumn("ref_hash", F.xxhash64("ref_key"))
+        .withColumn("range", _range_of(F.col("ref_hash"), bits))
         .join(hot, "range", "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
-        .select("range", "salt", "ref_key", "came", "gone")
+        .select("range", "salt", "ref_key", "ref_hash", "came", "gone")
     )
+    # Batches meet their parents in tasks of a fixed size: their number grows with the references.
+    tasks = max(shuffle_partitions(spark), 1 + 3 * n_rows // batch_rows)
+    salted, held = salted.repartition(tasks, "range", "salt"), held.repartition(tasks, "range", "salt")
     misses = salted.groupBy("range", "salt").cogroup(held.groupBy("range", "salt")).applyInArrow(_probe, "row_id bigint, field int, ref_at bigint, reason int")
     return misses.select(
         "row_id",

@@ -50,3 +50,20 @@ def test_repeated_rows_and_periods(spark):
     rows = run(spark, [(1, "Q9", None, D[4], "x", 0)] * 2 + [(2, "Q9", "Q1", D[2], "x", 0)], PARENTS)
     counts = sorted(map(tuple, orphans_by_period(rows).collect()))
     assert counts == [("things", "2024-01", "late", 1), ("things", "2024-01", "missing", 3)]
+
+
+def test_keys_of_one_hash_are_told_apart():
+    import numpy as np
+
+    from knotwork.operators.references import _locate
+
+    hashes, keys = np.array([1, 1, 1, 4]), np.array(["a", "b", "c", "d"])
+    wanted, words = np.array([1, 1, 4, 4, 9, 1]), np.array(["c", "a", "d", "x", "d", "y"])
+    assert _locate(hashes, wanted, lambda which, at: words[which] == keys[at]).tolist() == [2, 0, 3, -1, -1, -1]
+    assert _locate(np.array([], np.int64), wanted, None).tolist() == [-1] * 6
+
+
+def test_very_long_ids(spark):
+    long = "Q" * 100_000
+    got = run(spark, [(1, long, "Q1", D[9], "x", 0), (2, long + "X", None, D[9], "x", 0)], [*PARENTS, (long, D[1], None, 1)])
+    assert [(r.row_id, r.reason) for r in got.collect()] == [(2, "missing")]
