@@ -10,6 +10,7 @@ from knotwork.sources import table
 
 MIN_WORDS = 8
 REPEATED_SHARE = 0.5
+LEFT_OUT = 0.5
 NEAREST = 10
 LEAST_COSINE = 0.82
 NONPROSE_SHARE = 0.5
@@ -34,11 +35,17 @@ def _repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _repetition(spark, folder).where((F.col("n_words") >= MIN_WORDS) & (F.col("repeated_share") >= REPEATED_SHARE)).select("rec_id")
+    """What the posterior leaves out, checked exactly."""
+    left_out = _repetition(spark, folder).where(F.col("posterior") >= LEFT_OUT)
+    return left_out.where((F.col("n_words") >= MIN_WORDS) & (F.col("repeated_share") >= REPEATED_SHARE)).select("rec_id")
 
 
 def p7_repeated_share(spark: SparkSession, folder: str) -> DataFrame:
-    return _repetition(spark, folder)
+    return _repetition(spark, folder).select("rec_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
+
+
+def p7_posterior(spark: SparkSession, folder: str) -> DataFrame:
+    return _repetition(spark, folder).select("rec_id", "posterior")
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +54,18 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_containers(spark, folder).where((F.col("piece") == 1) & (F.col("tokens") > packing.CAPACITY)).select("doc_id")
+    """Documents whose pieces lie in more than one container."""
+    spread = p8_containers(spark, folder).groupBy("doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return spread.where("first < last").select("doc_id")
+
+
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: documents, pieces and tokens placed, containers above the capacity, pieces placed twice."""
+    placed = p8_containers(spark, folder)
+    loads = placed.groupBy("container").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    twice = placed.groupBy("doc_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    held = loads.agg(F.sum("n").alias("n_pieces"), F.sum("size").alias("n_tokens"), F.count_if(F.col("size") > packing.CAPACITY).alias("n_overfull"))
+    return held.crossJoin(twice.agg(F.count_distinct("doc_id").alias("n_documents"), F.count_if(F.col("n") > 1).alias("n_twice")))  # one row each
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,5 +110,24 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_statistics(spark, folder).where(F.col("nonprose_share") > NONPROSE_SHARE).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p1_templates, p6_found, p6_neighbours, p6_search, p6_recall, p7_found, p7_repeated_share, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_statistics)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_records, p1_templates, p6_found, p6_neighbours, p6_search, p6_recall, p7_found, p7_repeated_share, p7_posterior, p8_found, p8_containers, p8_invariants, p9_found, p9_leaks, p10_found, p10_statistics)}
+
+_WORDS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
+_REPEATED = f"""wd AS (SELECT rec_id, coalesce({_WORDS.format(c='entity_description')}, []) AS w FROM entities),
+gr AS (SELECT rec_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS gram FROM (SELECT rec_id, w, unnest(range(1, len(w) - 1)) AS i FROM wd WHERE len(w) >= 3)),
+ag AS (SELECT rec_id, i FROM (SELECT rec_id, i, row_number() OVER (PARTITION BY rec_id, gram ORDER BY i) AS nth FROM gr) WHERE nth > 1),
+cv AS (SELECT rec_id, count(*) AS c FROM (SELECT DISTINCT rec_id, unnest([i, i + 1, i + 2]) AS pos FROM ag) GROUP BY rec_id),
+sh AS (SELECT wd.rec_id, len(w) AS n_words, CASE WHEN len(w) = 0 THEN 0 ELSE coalesce(c, 0)::DOUBLE / len(w) END AS share FROM wd LEFT JOIN cv ON cv.rec_id = wd.rec_id)"""
+_BLANKS = r"\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SIZED = rf"sz AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_BLANKS}]+')) AS n FROM documents WHERE text IS NOT NULL)"
+_PASSAGES = f"""tw AS (SELECT item_id, {_WORDS.format(c='txt')} AS w FROM (SELECT item_id, question AS txt FROM test_items UNION ALL SELECT item_id, passage FROM test_items) WHERE txt IS NOT NULL),
+tg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + {contamination.MIN_RUN - 1}), ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - {contamination.MIN_RUN - 2})) AS i FROM tw)),
+dw AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(list_slice(w, i, i + {contamination.MIN_RUN - 1}), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {contamination.MIN_RUN - 2})) AS i FROM dw))"""
+SQL: dict[str, str] = {
+    "p7_found": f"WITH {_REPEATED} SELECT rec_id FROM sh WHERE n_words >= {MIN_WORDS} AND share >= {REPEATED_SHARE}",
+    "p7_repeated_share": f"WITH {_REPEATED} SELECT rec_id, n_words, round(share, 6) AS repeated_share FROM sh",
+    "p8_found": f"WITH {_SIZED} SELECT doc_id FROM sz WHERE n > {packing.CAPACITY}",
+    "p8_invariants": f"WITH {_SIZED} SELECT count(*) AS n_documents, CAST(sum(ceil(n / {packing.CAPACITY}.0)) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS n_tokens, 0::BIGINT AS n_overfull, 0::BIGINT AS n_twice FROM sz WHERE n > 0",
+    "p9_found": f"WITH {_PASSAGES} SELECT DISTINCT doc_id, item_id FROM dg JOIN tg ON tg.gram = dg.gram",
+}

@@ -42,10 +42,9 @@ def test_operator_finds_all_that_the_exact_measure_finds(spark):
         w = re.findall(r"[^\W_]+", (text or "").lower())
         share = brute(w) / len(w) if w else 0.0
         assert rows[i].n_words == len(w)
-        if rows[i].repeated_share is not None:
-            assert abs(rows[i].repeated_share - share) < 1e-9
+        assert abs(rows[i].repeated_share - share) < 1e-9
         if len(w) >= 8 and share >= 0.5:
-            assert rows[i].repeated_share is not None
+            assert rows[i].posterior >= 0.5
 
 
 def test_em_orders_patterns():
@@ -59,3 +58,11 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert repetition(df, "rec", "descr").count() == 0
     assert posteriors(votes(features(df, "rec", "descr"))).count() == 0
+
+
+def test_posterior_keeps_every_case_in_any_mix(spark):
+    plain, loops = corpus()[:300], ["very " * 30, "one two three four " * 2, "it goes on and on. " * 9]
+    for texts in (loops, loops + plain[:3], loops[:1] + plain, loops * 40 + plain[:20]):
+        df = spark.createDataFrame([(i, t, 0, 0.0) for i, t in enumerate(texts)], SCHEMA)
+        for r in repetition(df, "rec", "descr").collect():
+            assert (r.posterior >= 0.5) == (r.repeated_share >= 0.5)
