@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.llm.text import n_tokens
-from knotwork.session import shuffle_partitions
+from knotwork.session import Workspace, shuffle_partitions
 
 CAPACITY = 1024
 
@@ -172,10 +172,11 @@ def pack(df: DataFrame, key: str, field: str, capacity: int = CAPACITY, buckets:
     depend on how the input is cut. Very long texts give as many pieces as needed; an empty table gives no rows.
     """
     spark = df.sparkSession
-    parts = pieces_of(sized(df, key, field), capacity)
+    # Tokens are counted once; the plan and the placement read the sizes.
+    parts = pieces_of(Workspace(spark, "packing").write(sized(df, key, field), "sizes"), capacity)
     buckets = buckets or max(1, min(4096, shuffle_partitions(spark)))
     parts = parts.withColumn("bucket", F.pmod(F.xxhash64("item", "piece"), F.lit(buckets)).cast("int"))
-    # capacity x buckets rows at most: the offsets of each bucket's ranks, and the histogram for the plan.
+    # The offsets of each bucket's ranks, and the histogram for the plan, of at most ``capacity`` rows.
     cells = parts.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     taken: Counter = Counter()
@@ -188,7 +189,7 @@ def pack(df: DataFrame, key: str, field: str, capacity: int = CAPACITY, buckets:
     table = spark.createDataFrame(intervals, "size int, start bigint, stop bigint, each bigint, first bigint")
     slots = F.broadcast(table.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "each", "first"))).alias("slots")))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(cells.select("size", "bucket", before.alias("offset")))
+    offsets = cells.select("size", "bucket", before.alias("offset"))
     local = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("item", "piece")) - 1
     ranked = parts.withColumn("local", local).join(offsets, ["size", "bucket"]).withColumn("rank", F.col("offset") + F.col("local"))
     placed = ranked.join(slots, "size").withColumn("slot", F.get(F.filter("slots", lambda s: (s["start"] <= F.col("rank")) & (F.col("rank") < s["stop"])), F.lit(0)))
