@@ -3,7 +3,8 @@
 Of every ``window`` consecutive hashes of ``k`` words the least is kept. Two texts that share at least
 ``k + window - 1`` consecutive words share a kept hash, so no such span is missed. Fingerprints of the
 corpus meet those of the test texts in one equi-join, whose small side Spark may broadcast after
-measuring it; the pairs that meet are then extended over the full texts to their longest shared run.
+measuring it; the test texts of one hash are one row, so that a common hash is one match. The pairs that meet are a table of
+known size, and are extended over the full texts to their longest shared run.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.exprs import let
 from knotwork.llm.text import words
+from knotwork.session import Workspace
 
 MIN_RUN = 10
 K = 7
@@ -76,6 +78,8 @@ def leaks(corpus: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item
     tests = items.select(items[item_key].alias("item"), parts.alias("p")).select("item", "p.part", words(F.col("p.txt")).alias("item_words")).where(F.size("item_words") >= min_run)
     seen = docs.select("doc", F.explode(fingerprints(words(F.col("txt")), k, window)).alias("mark"))
     marks = tests.select("item", "part", F.explode(fingerprints(F.col("item_words"), k, window)).alias("mark"))
-    pairs = seen.join(marks, "mark").select("doc", "item", "part").distinct()
+    held = marks.groupBy("mark").agg(F.collect_list(F.struct("item", "part")).alias("held"))  # within the stated set of test texts
+    met = seen.join(held, "mark").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("held"))).alias("held"))
+    pairs = Workspace(corpus.sparkSession, "leaks").write(met.select("doc", F.inline("held")), "pairs")
     whole = pairs.join(docs, "doc").join(tests, ["item", "part"]).withColumn("run", extend(words(F.col("txt")), F.col("item_words")))
     return whole.where(F.col("run") >= min_run).select("doc", "item", "part", "run")
