@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 from knotwork.session import Workspace
 
 CYCLE = "CYCLE"
+#: Sides of at most so many rows (ids and eight ancestors, some 2 MB) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 5_000
+
+
+def _side(df: DataFrame, n_rows: int) -> DataFrame:
+    """A side of a join by its counted rows: files of ids pack well, so their size alone would mislead Spark."""
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def links(df: DataFrame, group: Column, child: Column, parent: Column) -> DataFrame:
@@ -21,14 +28,14 @@ def links(df: DataFrame, group: Column, child: Column, parent: Column) -> DataFr
     return df.select(group.alias("grp"), child.alias("child"), parent.alias("parent")).where("grp is not null and child is not null and parent is not null").distinct()
 
 
-def _hops(edges: DataFrame, doublings: int) -> DataFrame:
+def _hops(edges: DataFrame, n_rows: int, doublings: int) -> DataFrame:
     """Adds ``up``: the nearest ``2 ** doublings`` ancestors of ``child``, nearest first, fewer where a root comes before."""
     out = edges.select("grp", "child", F.array("parent").alias("up"))
     for i in range(doublings):
         above = out.select("grp", F.col("child").alias("top"), F.col("up").alias("more"))
         out = (
             out.withColumn("top", F.when(F.size("up") == 2**i, F.element_at("up", -1)))
-            .join(above, ["grp", "top"], "left")
+            .join(_side(above, n_rows), ["grp", "top"], "left")
             .select("grp", "child", F.when(F.col("more").isNull(), F.col("up")).otherwise(F.concat("up", "more")).alias("up"))
         )
     return out
@@ -46,29 +53,35 @@ def unroll(edges: DataFrame, with_path: bool = True, doublings: int = 3, separat
     hops = 2**doublings
     clean = edges.select("grp", "child", "parent").where("grp is not null and child is not null and parent is not null")
     parents = work.write(clean.groupBy("grp", "child").agg(F.min("parent").alias("parent")), "links")
+    n_left = parents.count()
     roots = (
         parents.select("grp", F.col("parent").alias("node")).distinct()
-        .join(parents.select("grp", F.col("child").alias("node")), ["grp", "node"], "left_anti")
+        .join(_side(parents.select("grp", F.col("child").alias("node")), n_left), ["grp", "node"], "left_anti")
         .select("grp", "node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), (F.col("node") if with_path else F.lit(None).cast("string")).alias("path"))
     )
     roots = work.write(roots, "roots")
-    state = _hops(parents, doublings).select("grp", "child", "up", *[F.lit(None).cast(kind).alias(name) for name, kind in (("root", "string"), ("depth", "bigint"), ("path", "string"))])
-    rest, frontier, depth, tree = work.write(state, "rest"), roots, 0, roots
+    state = _hops(parents, n_left, doublings).select("grp", "child", "up", *[F.lit(None).cast(kind).alias(name) for name, kind in (("root", "string"), ("depth", "bigint"), ("path", "string"))])
+    start = work.write(state, "rest")
+    rest, frontier, n_frontier, depth, written = start, roots, roots.count(), 0, []
     while True:
         # Each node between one and `hops` levels below the frontier has exactly one ancestor in it.
         near = rest.select("grp", "child", "up", F.posexplode("up").alias("i", "node"))
         between = F.reverse(F.slice("up", F.lit(1), F.col("i")))
         onward = F.concat_ws(separator, F.col("f.path"), F.array_append(between, F.col("child"))) if with_path else F.lit(None).cast("string")
-        found = near.join(frontier.alias("f"), ["grp", "node"]).select("grp", "child", F.col("f.root").alias("root"), (F.col("f.depth") + F.col("i") + 1).alias("depth"), onward.alias("path"))
-        state = work.write(rest.select("grp", "child", "up").join(found, ["grp", "child"], "left"), "state")
+        found = near.join(_side(frontier, n_frontier).alias("f"), ["grp", "node"]).select("grp", "child", F.col("f.root").alias("root"), (F.col("f.depth") + F.col("i") + 1).alias("depth"), onward.alias("path"))
+        state = work.write(rest.select("grp", "child", "up").join(_side(found, n_left), ["grp", "child"], "left"), "state")
+        written.append(state._knotwork_path)
         deepest, n_left = state.agg(F.max("depth"), F.count_if(F.col("depth").isNull())).first()
-        reached = state.where("depth is not null").select("grp", F.col("child").alias("node"), "root", "depth", "path")
-        tree = tree.unionByName(reached)
         rest = state.where("depth is null")
         if deepest is None or deepest < depth + hops or not n_left:
             break
         depth = int(deepest)
-        frontier = reached.where(F.col("depth") == depth)
+        frontier = state.where(F.col("depth") == depth).select("grp", F.col("child").alias("node"), "root", "depth", "path")
+        n_frontier = frontier.count()
+    work.drop(start)
+    # The tables of all rounds are one scan, however deep the hierarchy.
+    reached = edges.sparkSession.read.schema(state.schema).parquet(*written).where("depth is not null")
+    tree = roots.unionByName(reached.select("grp", F.col("child").alias("node"), "root", "depth", "path"))
     lost = rest.select("grp", F.col("child").alias("node"), F.lit(CYCLE).alias("root"), F.lit(-1).cast("bigint").alias("depth"), F.lit(None).cast("string").alias("path"))
     out = tree.unionByName(lost)
     return out if with_path else out.drop("path")

@@ -45,3 +45,14 @@ def test_nulls_groups_and_empty(spark):
 
 def test_two_parents_take_the_smallest(spark):
     assert {r.node: r.root for r in unroll(edges(spark, [("a", "z"), ("a", "b")])).collect()} == {"a": "b", "b": "b"}
+
+
+def test_shuffled_joins_give_the_same_tree(spark, monkeypatch):
+    from knotwork.operators import hierarchy
+
+    rows = [("g", f"n{i}", f"n{i - 1}") for i in range(1, 60)] + [("g", f"m{i}", f"n{i % 7}") for i in range(40)] + [("g", "x", "y"), ("g", "y", "x")]
+    df = spark.createDataFrame(rows, "grp string, child string, parent string")
+    small = sorted(map(tuple, hierarchy.unroll(df).collect()), key=str)
+    monkeypatch.setattr(hierarchy, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, hierarchy.unroll(df).collect()), key=str) == small
+    assert max(r[3] for r in small) == 59
