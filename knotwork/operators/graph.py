@@ -130,33 +130,80 @@ def communities(graph: DataFrame, gamma: float = 3.0, levels: int = 2, sweeps: i
     return mapping.join(part, "id").select("id", F.col("component").alias("label"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, component``: the smallest id of each connected part of ``edges`` (u, v) over ``nodes`` (id).
 
     Each round takes the least label among the neighbours and then jumps to the label's own label, so that chains
-    shorten by more than one step a round.
+    shorten by more than one step a round; rounds go on until no label changes.
     """
     work = Workspace(nodes.sparkSession, "components")
     both = work.write(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
     label = work.write(nodes.select("id", F.col("id").alias("component")).distinct(), "labels")
-    for _ in range(max_rounds):
+    changed = True
+    while changed:
         near = both.join(label.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         step = label.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = step.alias("a").join(step.select(F.col("id").alias("jid"), F.col("component").alias("jc")), F.col("a.component") == F.col("jid"), "left")
         after = work.write(jump.select("id", "old", F.least("component", F.coalesce("jc", "component")).alias("component")), "labels")
-        changed = after.where("old <> component").isEmpty()
+        changed = not after.where("old <> component").isEmpty()
         work.drop(label)
         label = after
-        if changed:
-            break
+    work.drop(both)
     return label.select("id", "component")
 
 
+def merge_rounds(sizes: DataFrame, links: DataFrame, least: int, caps: tuple[int | None, ...], movers: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """``pid, into``: every partition with the one it ends in, after partitions below ``least`` have merged as long as any can.
+
+    ``sizes``: pid, size; ``links``: a, b, weight. In each round every small partition (of ``movers``: pid, if given) offers itself to
+    the partition it shares most weight with, small or not, whose size is below the cap; ties go to the smaller labels. An
+    offer counts if its target makes none itself, or if both offer to each other (then the smaller one moves), and a
+    target takes offers in the order of size and label while it is below the cap (``strict``: while the sum stays within it). Sizes and links
+    follow the new labels. When a round merges nothing the next of the rising ``caps`` holds; None is no cap.
+    """
+    work = Workspace(sizes.sparkSession, "merge")
+    sizes = work.write(sizes.select("pid", "size"), "sizes")
+    links = work.write(links.select("a", "b", F.col("weight").cast("double").alias("weight")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight").cast("double").alias("weight"))), "links")
+    mapping = work.write(sizes.select("pid", F.col("pid").alias("into")), "mapping")
+    at = 0
+    while at < len(caps):
+        cap = caps[at]
+        now = sizes.join(mapping, "pid").groupBy(F.col("into").alias("pid")).agg(F.sum("size").alias("size"))
+        small = now.where(F.col("size") < least)
+        if movers is not None:
+            small = small.join(movers.select("pid"), "pid", "left_semi")
+        ends = links.join(mapping.select(F.col("pid").alias("a"), F.col("into").alias("pid")), "a").join(mapping.select(F.col("pid").alias("b"), F.col("into").alias("to")), "b")
+        shared = ends.where("pid <> to").groupBy("pid", "to").agg(F.sum("weight").alias("weight"))
+        fits = shared.join(small, "pid").join(now.select(F.col("pid").alias("to"), F.col("size").alias("held")), "to")
+        if cap is not None:
+            fits = fits.where((F.col("size") + F.col("held") <= cap) if strict else (F.col("held") < cap))
+        best = F.struct("weight", -F.least("pid", "to"), -F.greatest("pid", "to"))
+        offer = work.write(fits.groupBy("pid", "size").agg(F.max_by(F.struct("to", "held"), best).alias("t")).select("pid", "size", "t.*"), "offers")
+        back = offer.select(F.col("pid").alias("to"), F.col("to").alias("theirs"), F.col("size").alias("their_size"))
+        counts = offer.join(back, "to", "left").where("theirs IS NULL OR (theirs = pid AND (size < their_size OR (size = their_size AND pid > to)))")
+        upto = F.sum("size").over(Window.partitionBy("to").orderBy("size", "pid"))
+        taken = counts.withColumn("upto", upto)
+        if cap is not None:
+            taken = taken.where((F.col("held") + F.col("upto") <= cap) if strict else (F.col("held") + F.col("upto") - F.col("size") < cap))
+        taken = work.write(taken.select(F.col("pid").alias("into"), "to"), "taken")
+        work.drop(offer)
+        if taken.isEmpty():
+            at += 1
+            continue
+        after = work.write(mapping.join(taken, "into", "left").select("pid", F.coalesce("to", "into").alias("into")), "mapping")
+        work.drop(mapping)
+        work.drop(taken)
+        mapping = after
+    work.drop(links)
+    work.drop(sizes)
+    return mapping
+
+
 def split_oversized(labels: DataFrame, cap: int) -> DataFrame:
-    """``id, pid, part``: partitions above the cap cut into ``ceil(size / cap)`` even parts by a hash of the id; part 0 keeps the label."""
+    """``id, pid, part``: partitions above the cap cut into ``ceil(size / cap)`` even parts by the MD5 of the id; part 0 keeps the label."""
     sizes = labels.groupBy("pid").agg(F.count(F.lit(1)).alias("size"))
     parts = F.ceil(F.col("size") / cap).cast("int")
-    return labels.join(sizes, "pid").select("id", "pid", F.when(F.col("size") > cap, F.pmod(F.xxhash64("id"), parts)).otherwise(0).cast("int").alias("part"))
+    return labels.join(sizes, "pid").select("id", "pid", F.when(F.col("size") > cap, F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % parts).otherwise(0).cast("int").alias("part"))
 
 
 def merge_small(sizes: DataFrame, adjacent: DataFrame, least: int, cap: int) -> DataFrame:

@@ -85,7 +85,7 @@ def neighbours(states: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     ``states``: state, node, visited. Targets already visited are left out. A node that many states share meets its
     edges once: edges are cut to the limit plus the longest path per source before the join.
     """
-    spare = 16
+    spare = states.agg(F.max(F.size("visited"))).first()[0] or 0
     order = Window.partitionBy("src").orderBy("dst", "rel")
     here = edges.join(states.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     near = here.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit + spare).drop("nth")

@@ -14,7 +14,8 @@ from knotwork.plans.text import EMBED, PREMISES, _tok
 from knotwork.sources import table
 
 QUERIES, SQL = {}, {}
-CAP, LEAST, CENTROIDS = 60, 4, 100
+CAP, LEAST, CENTROIDS, COARSE_CELLS = 60, 4, 100, 256
+CAP_LADDER = (60, 78, 96, None)
 
 
 def query(sql: str | None = None):
@@ -27,13 +28,13 @@ def query(sql: str | None = None):
     return add
 
 
-def entity_coordinates(spark, d):
-    ents = kg.entities(spark, d).select("id", F.explode(T.tokens(T.embedding_text(F.col("name"), kg.alias_list("aliases"), F.col("descr")))).alias("token"))
-    return vectors.hash_coordinates(ents, "id", "token")
+def _coordinates(ents):
+    tokens = ents.select("id", F.explode(T.tokens(T.embedding_text(F.col("name"), kg.alias_list("aliases"), F.col("descr")))).alias("token"))
+    return vectors.hash_coordinates(tokens, "id", "token")
 
 
 def entity_vectors(spark, d):
-    return vectors.dense(entity_coordinates(spark, d), "id")
+    return vectors.dense(_coordinates(kg.entities(spark, d)), "id")
 
 
 def structural_edges(spark, d):
@@ -101,9 +102,9 @@ def gini(spark, d):
 
 
 def unassigned(spark, d):
-    """Numbered entities without a partition, with vectors: ``qid, id, vec``."""
-    lone = kg.deliveries(spark, d).select("id").distinct().join(kg.members(spark, d), "id", "left_anti")
-    return lone.join(entity_vectors(spark, d), "id").select(F.substring("id", 2, 18).cast("bigint").alias("qid"), "id", "vec")
+    """Entities without a partition, with vectors: ``id, vec``. Only these are encoded."""
+    lone = kg.entities(spark, d).join(kg.members(spark, d), "id", "left_anti")
+    return vectors.dense(_coordinates(lone), "id")
 
 
 _LONE = f"{ENT}, {MEM}, {ENC}, {CEN}, lone AS (SELECT id FROM ent WHERE id NOT IN (SELECT id FROM mem)), sc AS (SELECT e.id, c.id AS pid, round(sum(e.val * c.val), 9) AS sim FROM ev e JOIN lone USING (id) JOIN cen c ON c.dim = e.dim GROUP BY ALL)"
@@ -111,17 +112,30 @@ _LONE = f"{ENT}, {MEM}, {ENC}, {CEN}, lone AS (SELECT id FROM ent WHERE id NOT I
 
 @query(f"WITH {_LONE} SELECT id, pid, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, pid) AS r FROM sc) WHERE r = 1")
 def nearest_centroid_assign(spark, d):
-    lone = unassigned(spark, d)
-    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), lone.select(F.col("qid").alias("id"), "vec"), keep=1, of="row")
-    return near.select(F.concat(F.lit("Q"), F.col("id").cast("string")).alias("id"), F.col("qid").cast("int").alias("pid"), F.round("score", 6).alias("sim"))
+    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), unassigned(spark, d), keep=1, of="row")
+    return near.select("id", F.col("qid").alias("pid"), F.round("score", 6).alias("sim"))
+
+
+@query()
+def coarse_assign(spark, d):
+    """Entities without a partition to the nearest centroid of their nearest coarse cell; no cap."""
+    near = vectors.coarse_nearest(unassigned(spark, d), centroid_vectors(spark, d), COARSE_CELLS)
+    return near.select("id", "pid", F.round("score", 6).alias("sim"))
+
+
+@query()
+def coarse_assign_recall(spark, d):
+    """How often the coarse search finds a centroid as near as the nearest of all."""
+    exact = nearest_centroid_assign(spark, d).select("id", F.col("sim").alias("best"))
+    both = exact.join(coarse_assign(spark, d), "id", "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sim") >= F.col("best")).alias("n_hit"), F.round(F.avg(F.col("best") - F.col("sim")), 6).alias("mean_loss"))
 
 
 @query()
 def capped_assign(spark, d):
     """Entities without a partition to the nearest centroid whose partition has room under the cap (``CENTROIDS`` nearest each)."""
-    lone = unassigned(spark, d)
-    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), lone.select(F.col("qid").alias("id"), "vec"), keep=CENTROIDS, of="row")
-    near = near.select(F.concat(F.lit("Q"), F.col("id").cast("string")).alias("id"), F.col("qid").cast("int").alias("pid"), F.col("score").alias("sim"))
+    near = vectors.products(centroid_vectors(spark, d).withColumnRenamed("id", "qid"), unassigned(spark, d), keep=CENTROIDS, of="row")
+    near = near.select("id", F.col("qid").alias("pid"), F.col("score").alias("sim"))
     room = table(spark, d, "centroids").select(F.col("partition_id").alias("pid")).join(partition_sizes(spark, d), "pid", "left").select("pid", F.greatest(F.lit(0), CAP - F.coalesce("size", F.lit(0))).alias("room"))
     return G.capped_assignment(near, room)
 
@@ -134,13 +148,13 @@ def graph_communities(spark, d):
 
 
 
-@query()
+@query(f"WITH RECURSIVE {STR}, bo AS (SELECT src AS u, dst AS v FROM st UNION SELECT dst, src FROM st), re AS (SELECT u AS id, u AS c FROM bo UNION SELECT b.v, r.c FROM re r JOIN bo b ON b.u = r.id WHERE r.c < b.v) SELECT id, min(c) AS component FROM re GROUP BY id")
 def graph_components(spark, d):
     e = structural_edges(spark, d)
     return G.components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")), e.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
 
 
-@query()
+@query(f"WITH {SIZ} SELECT m.id, m.pid, CAST(CASE WHEN s.size > {CAP} THEN CAST('0x' || substr(md5(m.id), 1, 8) AS BIGINT) % CAST(ceil(s.size / {CAP}.0) AS BIGINT) ELSE 0 END AS INT) AS part FROM mem m JOIN sz s ON s.pid = m.pid")
 def split_oversized(spark, d):
     return G.split_oversized(kg.members(spark, d), CAP)
 
@@ -155,12 +169,32 @@ def merge_small(spark, d):
 
 @query(f"WITH {_ADJ}, {CEN}, al AS (SELECT pid, size FROM sz WHERE size < {LEAST} AND pid NOT IN (SELECT a FROM ad UNION SELECT b FROM ad)), kn AS (SELECT a.pid, c.id AS other, round(sum(q.val * c.val), 9) AS sim FROM al a JOIN cen q ON q.id = a.pid JOIN cen c ON c.dim = q.dim AND c.id <> a.pid GROUP BY ALL), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY sim DESC, other) AS r FROM kn) WHERE r <= 10), f AS (SELECT t.pid, t.other, t.sim FROM t JOIN al ON al.pid = t.pid JOIN sz s ON s.pid = t.other WHERE al.size + s.size <= {CAP}) SELECT pid, other AS \"into\" FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY sim DESC, other) AS r FROM f) WHERE r = 1")
 def merge_isolated(spark, d):
+    adj = G.adjacency(structural_edges(spark, d), kg.members(spark, d))
+    return G.merge_isolated(partition_sizes(spark, d), adj, _near_isolated(spark, d), LEAST, CAP)
+
+
+def _near_isolated(spark, d):
+    """``pid, other, sim``: the ten nearest of every small partition without an adjacent one."""
     adj, sizes, cen = G.adjacency(structural_edges(spark, d), kg.members(spark, d)), partition_sizes(spark, d), centroid_vectors(spark, d)
     touched = adj.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
     alone = sizes.where(F.col("size") < LEAST).join(touched, "pid", "left_anti").join(cen.withColumnRenamed("id", "pid"), "pid").select(F.col("pid").alias("qid"), "vec")
     scores = vectors.products(alone, cen, keep=11).where("qid <> id")
-    near = vectors.best(scores.drop("rank"), 10).select(F.col("qid").cast("int").alias("pid"), F.col("id").cast("int").alias("other"), F.col("score").alias("sim"))
-    return G.merge_isolated(sizes, adj, near, LEAST, CAP)
+    return vectors.best(scores.drop("rank"), 10).select(F.col("qid").cast("int").alias("pid"), F.col("id").cast("int").alias("other"), F.col("score").alias("sim"))
+
+
+@query()
+def merge_small_repeated(spark, d):
+    """Small partitions merged with their neighbours in rounds, under rising caps and at last none, until no small one has a neighbour."""
+    adj = G.adjacency(structural_edges(spark, d), kg.members(spark, d)).withColumnRenamed("n_edges", "weight")
+    return G.merge_rounds(partition_sizes(spark, d), adj, LEAST, CAP_LADDER)
+
+
+@query()
+def merge_isolated_repeated(spark, d):
+    """Small partitions without a neighbour merged with the most similar of their ten nearest, in rounds that keep the cap."""
+    sizes, near = partition_sizes(spark, d), _near_isolated(spark, d)
+    links = near.select(F.col("pid").alias("a"), F.col("other").alias("b"), F.col("sim").alias("weight"))
+    return G.merge_rounds(sizes, links, LEAST, (CAP,), movers=near.select("pid").distinct(), strict=True)
 
 
 @query(f"WITH {CEN}, q AS (SELECT id, dim, val FROM cen WHERE id % 100 = 0), s AS (SELECT q.id, c.id AS other, round(sum(q.val * c.val), 9) AS sim FROM q JOIN cen c ON c.dim = q.dim WHERE q.id <> c.id GROUP BY ALL), p AS (SELECT id, avg(1 - sim) AS m, min(1 - sim) AS nn FROM s GROUP BY id) SELECT count(*) AS n, round(avg(m), 6) AS mean_distance, round(avg(nn), 6) AS nearest_distance FROM p")

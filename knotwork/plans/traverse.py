@@ -82,7 +82,7 @@ def relation_relevance(spark, d):
     """Every question against every relation name (a fixed list of relations)."""
     rels = kg.relations(spark, d).where("rel_name <> ''").select(F.col("rel_name").alias("relation")).distinct()
     names = rels.agg(F.sort_array(F.collect_set("relation")).alias("names"))
-    q = questions(spark, d).withColumn("one", F.lit(1)).join(names.withColumn("one", F.lit(1)), "one").select("qid", "question", F.explode("names").alias("relation"))
+    q = questions(spark, d).crossJoin(names).select("qid", "question", F.explode("names").alias("relation"))  # one row of names
     return q.select("qid", "relation", traverse.relation_relevance(F.col("relation"), F.col("question")).alias("relevance"))
 
 

@@ -55,15 +55,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames at the end: readers see the old table or the whole new one."""
+    """Writes the whole new table beside the target, sets the old one aside, puts the new one in its place, drops the old one.
+
+    No reader ever sees half a table; between the two renames there is none at the path for a moment. If the second rename
+    fails the old table is put back.
+    """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    staged, aside = (f"{path.rstrip('/')}.{uuid.uuid4().hex}" for _ in range(2))
     df.write.parquet(staged)
     fs, target = _fs(spark, path)
-    _, source = _fs(spark, staged)
-    fs.delete(target, True)
+    source, old = _fs(spark, staged)[1], _fs(spark, aside)[1]
+    held = fs.exists(target)
+    if held and not fs.rename(target, old):
+        raise OSError(f"{path} could not be set aside")
     if not fs.rename(source, target):
+        if held:
+            fs.rename(old, target)
         raise OSError(f"{staged} could not be renamed to {path}")
+    if held:
+        fs.delete(old, True)
 
 
 def backup_once(spark: SparkSession, path: str, backup: str) -> bool:

@@ -1,4 +1,4 @@
-"""Streams: windowed counts of late events and questions routed as they arrive."""
+"""Streams: windowed counts of late events."""
 
 from __future__ import annotations
 

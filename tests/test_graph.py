@@ -48,3 +48,32 @@ def test_split_and_gini(spark):
     assert set(parts) == {(1, 0), (1, 1), (1, 2), (2, 0)} and sum(map(len, parts.values())) == 100
     sizes = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 4)], "pid int, size bigint")
     assert abs(G.gini(sizes).first().gini - 0.3125) < 1e-12
+
+
+def test_small_partitions_merge_until_none_can(spark):
+    from knotwork.operators.graph import merge_rounds
+
+    sizes = [(1, 1), (2, 1), (3, 1), (4, 9), (5, 1), (6, 10), (7, 1)]
+    links = [(1, 2, 5), (2, 3, 4), (3, 4, 1), (5, 6, 2)]
+    df, ln = spark.createDataFrame(sizes, "pid int, size bigint"), spark.createDataFrame(links, "a int, b int, weight bigint")
+    into = {r.pid: r.into for r in merge_rounds(df, ln, 4, (10, None)).collect()}
+    assert set(into) == {1, 2, 3, 4, 5, 6, 7} and into[7] == 7
+    total = {}
+    for pid, n in sizes:
+        total[into[pid]] = total.get(into[pid], 0) + n
+    assert all(n >= 4 for label, n in total.items() if label != 7)
+    kept = {r.pid: r.into for r in merge_rounds(df, ln, 4, (10,), strict=True).collect()}
+    total = {}
+    for pid, n in sizes:
+        total[kept[pid]] = total.get(kept[pid], 0) + n
+    assert max(total.values()) <= 10 and kept[5] == 5
+    assert merge_rounds(df.where("false"), ln, 4, (10, None)).count() == 0
+
+
+def test_long_chains_are_one_component(spark):
+    from knotwork.operators.graph import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "u int, v int")
+    nodes = spark.createDataFrame([(i,) for i in [*range(201), 900, 901, 950]], "id int")
+    got = {r.id: r.component for r in components(edges, nodes).collect()}
+    assert got == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900, 950: 950}
