@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.operators.vectors import best, products, unit
 from knotwork.session import Workspace, shuffle_partitions
 
 PAIRS = "src bigint, nb array<struct<dst:bigint,sim:double,fresh:boolean>>"
@@ -165,7 +166,7 @@ class Graph:
         self.nodes, self.edges, self.copies, self.rounds = nodes, edges, copies, rounds
 
 
-def build(df: DataFrame, key: str, vector: str, width: int = 14, trees: int = 10, block: int = 512, bits: int = 30, max_rounds: int = 4, settled: float = 0.002, seed: int = 7) -> Graph:
+def build(df: DataFrame, key: str, vector: str, width: int = 14, trees: int = 10, block: int = 512, bits: int = 30, settled: float = 0.002, seed: int = 7) -> Graph:
     spark = df.sparkSession
     work = Workspace(spark, "neighbours")
     rows = usable(df, key, vector)
@@ -198,7 +199,7 @@ def build(df: DataFrame, key: str, vector: str, width: int = 14, trees: int = 10
     work.drop(coded)
     n_nodes = nodes.count()
     rounds = 0
-    while rounds < max_rounds:
+    while True:
         flat = edges.select("src", F.inline("nb"))
         order = Window.partitionBy("dst").orderBy(F.desc("sim"), "src")
         back = flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
@@ -242,41 +243,11 @@ def similar_pairs(near: DataFrame, least: float) -> DataFrame:
 
 
 def brute_force(df: DataFrame, key: str, vector: str, k: int, every: int = 100) -> DataFrame:
-    """``id, neighbour, sim, rank`` of the rows whose key is divisible by ``every``, against all rows, in blocks.
-
-    The queries are split into blocks of at most 2,048; each meets the whole table in one pass per block.
-    """
-    spark = df.sparkSession
-    rows = usable(df, key, vector)
-    asked = rows.where(F.col("id") % every == 0).orderBy("id")
-    ids, vecs = [], []
-    for r in asked.toLocalIterator():
-        ids.append(r["id"])
-        vecs.append(r["vec"])
-    out = None
-    for at in range(0, len(ids), 2048):
-        q_ids, q = np.array(ids[at : at + 2048]), np.array(vecs[at : at + 2048], dtype=np.float64)
-        unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-
-        def probe(batches: Iterator[pa.RecordBatch], q_ids: np.ndarray = q_ids, unit: np.ndarray = unit) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch["id"].to_numpy()
-                sims = np.round(unit @ _matrix(batch["vec"]).T, DECIMALS)
-                sims[q_ids[:, None] == own[None, :]] = -2
-                take = min(len(own), 4 * k)
-                top = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take < len(own) else np.tile(np.arange(len(own)), (len(q_ids), 1))
-                src = np.repeat(q_ids, top.shape[1])
-                sim = np.take_along_axis(sims, top, 1).ravel()
-                real = sim > -2
-                yield from _best(src[real], own[top].ravel()[real], sim[real], np.ones(int(real.sum()), bool), k).to_batches()
-
-        found = rows.mapInArrow(probe, PAIRS).groupBy("src").agg(F.collect_list("nb").alias("nbs")).mapInArrow(lambda it: _merge(it, k), PAIRS)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], PAIRS)
-    return out.select(F.col("src").alias("id"), F.posexplode("nb").alias("pos", "x")).select("id", F.col("x.dst").alias("neighbour"), F.col("x.sim").alias("sim"), (F.col("pos") + 1).alias("rank"))
+    """``id, neighbour, sim, rank`` of the rows whose key is divisible by ``every``, against all rows, in blocks of matrix products."""
+    rows = usable(df, key, vector).select("id", unit(F.col("vec")).alias("vec"))
+    met = products(rows.where(F.col("id") % every == 0).withColumnRenamed("id", "qid"), rows, keep=k + 1, decimals=DECIMALS).drop("rank")
+    near = best(met.where("qid <> id"), k)
+    return near.select(F.col("qid").alias("id"), F.col("id").alias("neighbour"), F.col("score").alias("sim"), "rank")
 
 
 def recall(near: DataFrame, truth: DataFrame) -> DataFrame:
@@ -285,7 +256,7 @@ def recall(near: DataFrame, truth: DataFrame) -> DataFrame:
     return hit.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_hit")).withColumn("recall", F.try_divide(F.col("n_hit"), F.col("n_true")))
 
 
-def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 32, entries: int = 1024, max_steps: int = 24, seed: int = 11) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 32, entries: int = 1024, seed: int = 11) -> DataFrame:
     """``id, neighbour, sim, rank``: greedy search of the graph for every query (``id bigint, vec``).
 
     Each query starts at its ``beam`` nearest of ``entries`` nodes, a bounded sample drawn by hash, and in each step
@@ -321,7 +292,7 @@ def search(graph: Graph, queries: DataFrame, k: int = 10, beam: int = 32, entrie
     gather = lambda e: e.groupBy("src").agg(F.collect_list("nb").alias("nbs")).mapInArrow(lambda it: _merge(it, beam), PAIRS)
     kind = asked.schema["vec"].dataType.simpleString()
     state = work.write(asked.mapInArrow(enter, PAIRS), "beam")
-    for _ in range(max_steps):
+    while True:
         flat_state = state.select("src", F.inline("nb"))
         fresh = flat_state.where("fresh").select("src", F.col("dst").alias("via"))
         seen = flat_state.select("src", "dst")
