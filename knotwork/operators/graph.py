@@ -15,14 +15,14 @@ def edge_similarity(edges: DataFrame, vecs: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", dot(F.col("va"), F.col("vb")).alias("sim"))
 
 
-def weighted_graph(edges: DataFrame, vecs: DataFrame, power: int = 2, shift: float = 1e-4) -> DataFrame:
-    """Undirected ``u, v, w`` with ``u < v``: similarities shifted above zero if any is not, raised to ``power``, summed.
+def weighted_graph(edges: DataFrame, vecs: DataFrame, power: int = 2, shift: float = 1e-4, always: bool = False) -> DataFrame:
+    """Undirected ``u, v, w`` with ``u < v``: similarities shifted above zero if any is not (or ``always``), raised to ``power``, summed.
 
     Edges without both vectors get the weight of the lowest similarity. Loops are dropped.
     """
     sims = edge_similarity(edges.where("src <> dst"), vecs).select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.round("sim", 9).alias("sim"))
     lowest = sims.agg(F.min("sim").alias("m")).select("m").scalar()
-    moved = F.coalesce("sim", lowest) + F.when(lowest <= 0, F.abs(lowest) + shift).otherwise(0.0)
+    moved = F.coalesce("sim", lowest) + (F.abs(lowest) + shift if always else F.when(lowest <= 0, F.abs(lowest) + shift).otherwise(0.0))
     return sims.groupBy("u", "v").agg(F.sum(F.pow(moved, F.lit(power))).alias("w"))
 
 

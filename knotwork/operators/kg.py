@@ -70,3 +70,8 @@ def alias_list(col: Column | str) -> Column:
 def normal(col: Column) -> Column:
     """Lower case with runs of white space as one blank."""
     return F.trim(F.regexp_replace(F.lower(col), r"\s+", " "))
+
+
+def lookup(ents: DataFrame, key: Column | str) -> DataFrame:
+    """The entity with that id, one row or none."""
+    return ents.where(F.col("id") == (F.lit(key) if isinstance(key, str) else key)).limit(1)

@@ -52,9 +52,9 @@ def both_scores(dense: DataFrame, lexical: DataFrame) -> DataFrame:
     return dense.withColumnRenamed("score", "d").join(lexical.withColumnRenamed("score", "b"), ["qid", "id"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
 
 
-def fuse(scores: DataFrame, weight: float = 0.5) -> DataFrame:
-    """``qid, id, score``: ``weight`` of the min-max dense plus the rest of the min-max lexical score."""
-    mixed = scores.select("qid", "id", minmax(scores, "d").alias("dn"), minmax(scores, "b").alias("bn"))
+def fuse(scores: DataFrame, weight: float = 0.5, normalize_dense: bool = True) -> DataFrame:
+    """``qid, id, score``: ``weight`` of the min-max dense (or, if so wished, the raw dense) plus the rest of the min-max lexical score."""
+    mixed = scores.select("qid", "id", (minmax(scores, "d") if normalize_dense else F.col("d")).alias("dn"), minmax(scores, "b").alias("bn"))
     return mixed.select("qid", "id", F.round(weight * F.col("dn") + (1 - weight) * F.col("bn"), 9).alias("score"))
 
 

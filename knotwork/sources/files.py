@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,3 +99,23 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
         before = 0
     fresh.write.mode("append").parquet(path)
     return spark.read.parquet(path).count() - before
+
+
+def batches(df: DataFrame, size: int = 10_000) -> Iterator[list]:
+    """Rows in lists of at most ``size``; one partition at a time is on the driver."""
+    held: list = []
+    for row in df.toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first of the paths that exists; names of artifacts change, readers try the new name first."""
+    for path in paths:
+        if exists(spark, path):
+            return path
+    raise FileNotFoundError(", ".join(paths))
