@@ -69,6 +69,9 @@ _NO_WORD = re.compile(rf"^(?:[^{_V}]{{3,}}|.*[^{_V}]{{6}}.*|(?=.{{7}})[^{_V}]*[{
 FEW_FUNCTION, MANY_MARKS, MOST_WORDS = 0.18, 0.3, 0.55
 #: At least so many lines of fewer than so many tokens on average are no wrapped prose.
 STACKED_LINES, STACKED_WORDS = 5, 3
+#: When a text is taken to be in another language: so many words, fewer known function words than this share, and at least so many
+#: different words of up to three letters that come again and make up so large a share.
+LEAST_WORDS, FEW_KNOWN, LEAST_SHORT, SHORT_SHARE = 12, 0.12, 4, 0.15
 CITATION = re.compile(r"\[P\d+\.E\d+\]")
 _DIGIT = re.compile(r"\d")
 _OPENERS = re.compile(r"^\s*(?:[*•·+-]\s|\d+[.)]\s|\|)")
@@ -124,8 +127,26 @@ def _stretches(text: str) -> list[str]:
     return out
 
 
-def _counts(stretch: str) -> tuple[list[int], int, str]:
-    """Class counts of a stretch in the language with most function words; function words; the language."""
+def _own_function_words(words: list[str]) -> dict[str, int]:
+    """Function words of a text in none of the known languages, with a kind each; empty where the text shows none.
+
+    In most languages a few very short words come again and again. They are taken for function words if few words of the text
+    are known ones and short words that come twice make up a good part of it; kinds go round by frequency. Short texts of languages that
+    lean on endings instead (Polish, say) do not show enough of them.
+    """
+    if len(words) < LEAST_WORDS or sum(w in _KNOWN for w in words) >= FEW_KNOWN * len(words):
+        return {}
+    short = Counter(w for w in words if len(w) <= 3 and w.isalpha())
+    again = [(w, n) for w, n in short.most_common() if n > 1]
+    if len(again) < LEAST_SHORT or sum(n for _, n in again) < SHORT_SHARE * len(words):
+        return {}
+    return {w: at % N_FUNCTION for at, (w, _) in enumerate(again)}
+
+
+def _counts(stretch: str, own: dict[str, int]) -> tuple[list[int], int, str]:
+    """Class counts of a stretch in the language with most function words; function words; the language.
+
+    ``own`` are the function words of the text itself, if it is in none of the languages."""
     counts = [0] * len(CLASSES)
     words: Counter = Counter()
     for token in TOKEN.findall(CITATION.sub(" ", stretch).lower()):
@@ -141,6 +162,10 @@ def _counts(stretch: str) -> tuple[list[int], int, str]:
             counts[9] += 1
         else:
             counts[10] += 1
+    if own:
+        for w, n in words.items():
+            counts[own[w] if w in own else 6 if _garbled(w) else 5] += n
+        return counts, sum(n for w, n in words.items() if w in own), "other"
     hits, known = [0] * len(LANGUAGES), []
     for w, n in words.items():
         kinds = _KNOWN.get(w)
@@ -177,9 +202,9 @@ def describe(keys: list, texts: list[str | None]) -> pa.Table:
         lines = [x for x in text.split("\n") if x.strip()]
         letters = sum(map(len, words))
         solid = len("".join(text.split()))
-        common = 0
+        common, own = 0, _own_function_words(lower)
         for stretch in _stretches(text):
-            c, n_function, lang = _counts(stretch)
+            c, n_function, lang = _counts(stretch, own)
             counts.append(c)
             owner.append(i)
             sizes.append(len("".join(stretch.split())))
