@@ -14,7 +14,7 @@ from knotwork.plans.text import EMBED, PREMISES, _tok
 from knotwork.sources import table
 
 QUERIES, SQL = {}, {}
-CAP, LEAST, CENTROIDS, COARSE_CELLS = 60, 4, 100, 256
+CAP, LEAST, CENTROIDS, COARSE_CELLS, COARSE_PROBES = 60, 4, 100, 256, 96
 CAP_LADDER = (60, 78, 96, None)
 
 
@@ -118,8 +118,8 @@ def nearest_centroid_assign(spark, d):
 
 @query()
 def coarse_assign(spark, d):
-    """Entities without a partition to the nearest centroid of their nearest coarse cell; no cap."""
-    near = vectors.coarse_nearest(unassigned(spark, d), centroid_vectors(spark, d), COARSE_CELLS)
+    """Entities without a partition to the nearest centroid of their nearest coarse cells; no cap. See ``coarse_assign_recall`` for the loss."""
+    near = vectors.coarse_nearest(unassigned(spark, d), centroid_vectors(spark, d), COARSE_CELLS, COARSE_PROBES)
     return near.select("id", "pid", F.round("score", 6).alias("sim"))
 
 
