@@ -42,14 +42,3 @@ def test_null_blank_long_and_empty(spark):
 def test_divergence_bounds():
     js = divergence(_PROFILES, _PROFILES)
     assert abs(js.diagonal()).max() < 1e-12 and js.max() <= 1 and abs(js - js.T).max() < 1e-12
-
-
-def test_prose_in_other_languages_is_prose(spark):
-    texts = [
-        "La città si trova vicino al mare e il suo porto è molto antico. Nel secolo scorso la città era piccola, ma il commercio con le isole la fece crescere. Oggi il porto è noto in tutto il paese, e la gente va al mare con i bambini. "
-        "Il castello che sta sul colle non è aperto, e le sue mura si vedono dal mare.",
-        "harbour lantern meadow quarry engine harbour quarry lantern meadow engine harbour quarry lantern engine meadow harbour lantern quarry engine meadow harbour lantern",
-    ]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc bigint, txt string")
-    got = {r.doc: (r.nonprose_share, r.language) for r in statistics(df, "doc", "txt").collect()}
-    assert got[0][0] < 0.5 and got[0][1] == "other" and got[1][0] > 0.5
